@@ -6,8 +6,11 @@ non-ASCII code point has the same class, so byte classes and code point classes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)  # odd, so its powers never vanish
@@ -48,6 +51,17 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """Consecutive parts of a text column of about ``most`` bytes, one text at least: the kernels' memory is a multiple
+    of a part, whatever the size of a batch."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, side="right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def segment(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each text the index of its first word (one more entry than texts)."""
     if not len(data):

@@ -30,10 +30,11 @@ class WordCache:
     """Ids, as little-endian unsigned 32-bit bytes, by piece of text between spaces and line breaks, which the tokenizer
     never joins. Bounded: it starts anew when it holds too much."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, plain: bool = False, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain  # their strings in a text are then ordinary text
         self.most = most
         self.ids: dict[str, bytes] = {}
 
@@ -55,14 +56,14 @@ class WordCache:
         return b"".join(map(get, words))
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[tuple[str, bool], WordCache] = {}
 
 
-def cached(path: str) -> WordCache:
+def cached(path: str, plain: bool = False) -> WordCache:
     """The worker's cache for a tokenizer file: it lives as long as the Python worker."""
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
+    if (path, plain) not in _CACHES:
+        _CACHES[path, plain] = WordCache(path, plain)
+    return _CACHES[path, plain]
 
 
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
