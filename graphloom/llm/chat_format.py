@@ -10,8 +10,10 @@ the sorted spans of tokens by binary search.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +67,10 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
+@cache
 def _tokenizer(path: str):
+    """The worker's tokenizer for a file: it lives as long as the Python worker, and starts no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -85,7 +90,8 @@ def _format_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
             turns = [[(t["role"] or "", t["text"] or "") for t in sorted(c, key=lambda t: (t["turn"] is not None, t["turn"] or 0))] for c in part.column(1).to_pylist()]
             whole = [render(t) for t in turns]
             ids, starts, ends, loss = [], [], [], []
-            for (_, spans), e in zip(whole, tokenizer.encode_batch([w for w, _ in whole], add_special_tokens=False), strict=True):
+            for text, spans in whole:
+                e = tokenizer.encode(text, add_special_tokens=False)
                 at = np.array(e.offsets, np.int64).reshape(-1, 2)
                 ids.append(e.ids)
                 starts.append(at[:, 0])
