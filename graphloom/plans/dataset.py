@@ -33,8 +33,12 @@ class Dataset:
     hashes: DataFrame
 
 
-def _vocab(options: dict) -> Vocab:
-    return options.get("vocab") or default_vocab(options.get("max_vocab_nodes", options.get("max_num_nodes", 25)), options.get("num_depth_markers", 25))
+def _vocab(options: dict, graph_type: str = "") -> Vocab:
+    """The vocabulary given, or one with an id for each node of the largest graph."""
+    most = options.get("max_num_nodes", 25)
+    if graph_type == "path_star":
+        most = options.get("max_num_arms", 5) * (options.get("max_arm_length", 10) - 1) + 1
+    return options.get("vocab") or default_vocab(options.get("max_vocab_nodes", most), options.get("num_depth_markers", 25))
 
 
 def build(spark: SparkSession, graph_type: str, task_type: str = "shortest_path", scratchpad_type: str = "none", seed: int = 0, first: int = 0, **options) -> Dataset:
@@ -42,7 +46,7 @@ def build(spark: SparkSession, graph_type: str, task_type: str = "shortest_path"
     if scratchpad_type not in ("none", "bfs", "dfs"):
         raise ValueError(f"no such scratchpad: {scratchpad_type}")
     tok, batch_size = group_of(TokenArgs, options), options.get("batch_size", 256)
-    vocab = _vocab(options)
+    vocab = _vocab(options, graph_type)
     positions = options.get("positions", POSITIONS)
     if graph_type in ("khops", "khops_gen"):
         return _khops(spark, graph_type, seed, first, options, tok, vocab, positions, batch_size)

@@ -150,7 +150,7 @@ class _Stream(SimpleDataSourceStreamReader):
         last = self.options.get("instances")
         end = start["inst"] + int(self.options.get("instances_per_batch", 32))
         end = min(end, int(last)) if last else end
-        return _rows(self.options, start["inst"], end), {"inst": max(end, start["inst"])}
+        return iter(list(_rows(self.options, start["inst"], end))), {"inst": max(end, start["inst"])}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return _rows(self.options, start["inst"], end["inst"])
