@@ -69,6 +69,37 @@ class Graph:
             if ids.shape[1]:
                 self._link(h, new, ids)
             have += size
+        self._tie(h)
+
+    def _tie(self, h: int) -> None:
+        """Gives every node that no walk from the first node reaches a link from its nearest node that is reached: in tight
+        groups pruning can leave some without any link to them, and no beam would find those."""
+        layer = self.layers[h]
+        seen = np.zeros(len(layer), bool)
+        front = np.zeros(1, np.int64)
+        more: list[tuple[int, int]] = []
+        while True:
+            while len(front):
+                seen[front] = True
+                near = np.unique(layer[front])
+                near = near[near >= 0]
+                front = near[~seen[near]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            known = np.flatnonzero(seen)
+            lost = lost[:1024]
+            best = known[np.concatenate([(self.x[lost[i : i + 64]] @ self.x[known].T).argmax(axis=1) for i in range(0, len(lost), 64)])]
+            more += zip(best.tolist(), lost.tolist(), strict=True)
+            front = lost
+        if more:
+            of: dict[int, list[int]] = {}
+            for v, u in more:
+                of.setdefault(v, []).append(u)
+            wide = np.full((len(layer), max(map(len, of.values()))), -1, np.int32)
+            for v, us in of.items():
+                wide[v, : len(us)] = us
+            self.layers[h] = np.concatenate([layer, wide], axis=1)
 
     def _pick(self, node: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
         """Of each row's candidates (-1: none) up to ``most``: from the nearest on, each that is nearer to the node than
