@@ -151,12 +151,13 @@ def _in_order(words: np.ndarray, template: np.ndarray) -> int:
 def _verify_batches(batches: Iterator[pa.RecordBatch], templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
     known = [_words([t])[0].view(np.int64) for t in templates.values()]
     for batch in batches:
-        score = [_in_order(np.array(w.as_py(), np.int64), known[t]) / len(known[t]) for t, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), batch.column(3), batch.column(4)], names=["_row", "template", "score", "begin", "end"])
+        found = [_in_order(np.array(w.as_py(), np.int64), known[t]) for t, w in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        score = [n / len(known[t]) for n, t in zip(found, batch.column(1).to_pylist(), strict=True)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(found, pa.int64()), batch.column(3), batch.column(4)], names=["_row", "template", "score", "matched", "begin", "end"])
 
 
 def license_spans(scanned: DataFrame, templates: dict[str, str], k: int, slack: int, least: float) -> DataFrame:
-    """(_row, label, score, begin, end): verified copies of templates, in words of the document."""
+    """(_row, label, score, begin, end): verified copies of templates, in words of the document; none overlaps a better one."""
     spark = scanned.sparkSession
     places = spark.createDataFrame(template_places(templates, k), "run long, template int, j long, size long")
     hits = scanned.filter("hits is not null").select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.i").alias("i"), F.col("h.run").alias("run"))
@@ -175,9 +176,13 @@ def license_spans(scanned: DataFrame, templates: dict[str, str], k: int, slack:
     begin = F.greatest(F.lit(0), F.col("low") - F.col("p.begin") - F.least(F.col("size"), F.lit(MARGIN)))
     end = F.col("high") - F.col("p.begin") + k + F.least(F.col("size"), F.lit(MARGIN))
     words = F.slice(F.col("p.words"), (begin + 1).cast("int"), (end - begin).cast("int"))
-    checked = map_arrow(span.select("_row", "template", words.alias("words"), "low", (F.col("high") + k).alias("high")), lambda it: _verify_batches(it, templates), "_row long, template int, score double, begin long, end long")
+    checked = map_arrow(span.select("_row", "template", words.alias("words"), "low", (F.col("high") + k).alias("high")), lambda it: _verify_batches(it, templates), "_row long, template int, score double, matched long, begin long, end long")
     label = F.element_at(F.array(*(F.lit(label_of(t)) for t in templates)), F.col("template") + 1)
-    return checked.filter(F.col("score") >= least).select("_row", label.alias("label"), "score", "begin", "end")
+    good = checked.filter(F.col("score") >= least)
+    # licences quote each other: of copies that overlap, the one with most words in place is meant
+    of = good.groupBy("_row").agg(F.collect_list(F.struct("template", "matched", "begin", "end")).alias("every"))
+    better = lambda t: (t["begin"] < F.col("end")) & (F.col("begin") < t["end"]) & ((t["matched"] > F.col("matched")) | (t["matched"] == F.col("matched")) & (t["template"] < F.col("template")))
+    return good.join(of, "_row").filter(~F.exists("every", better)).select("_row", label.alias("label"), "score", "begin", "end")
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, k: int = RUN, slack: int = 8, least: float = 0.6) -> DataFrame:

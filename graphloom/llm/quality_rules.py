@@ -117,13 +117,13 @@ def _with_frequent(df: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
     return df.join(frequent, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.02, max_lost: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.02, max_lost: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Two tables: one row per row of ``docs``, with doc_id, the host, the counts of :func:`text_rules`, lost_words and
     ``kept``; and the hosts' arrays of dropped lines.
 
     A line is dropped in a host if the host's distinct documents that have it are more than ``max_documents`` and more
-    than ``max_share`` of the host's distinct documents; a document is depleted if more than ``max_lost`` of its words
-    are in dropped lines. Documents are told apart by their longest word (then the greatest): copies and near copies
+    than ``max_share`` of the host's distinct documents. A document is depleted if more than ``max_lost`` of its words
+    are in dropped lines, or more than half of them and fewer than 10 words are left. Documents are told apart by their longest word (then the greatest): copies and near copies
     share it, so that a copied text isn't taken for boilerplate.
 
     A null text has no words and fails; a null host is a host of its own; repeated rows each get their row; an empty
@@ -135,7 +135,9 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30
     out = _with_frequent(rules, frequent, "_of")
     lost = F.aggregate(F.filter("_lines", lambda x: F.array_contains("_frequent", x["h"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
     out = out.withColumn("lost_words", F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(lost))
-    kept = ~F.col("base_failed") & (F.col("lost_words") <= max_lost * F.col("n_words"))
+    left = F.col("n_words") - F.col("lost_words")
+    depleted = (F.col("lost_words") > max_lost * F.col("n_words")) | ((F.col("lost_words") > left) & (left < 10))
+    kept = ~F.col("base_failed") & ~depleted
     return out.withColumn("kept", kept).drop("_lines", "_context", "_frequent").withColumnRenamed("_of", "host"), frequent
 
 

@@ -86,7 +86,7 @@ gone AS (SELECT o.source, line FROM often o JOIN hosts h ON h.source IS NOT DIST
 lost AS (SELECT l.r, sum(l.n) AS n FROM lines l JOIN counts c USING (r) JOIN gone g ON g.line = l.line AND g.source IS NOT DISTINCT FROM c.source GROUP BY l.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(lost.n, 0)::BIGINT AS lost_words,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(lost.n, 0) <= 0.5 * n_words AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (coalesce(lost.n, 0) > 0.8 * n_words OR (2 * coalesce(lost.n, 0) > n_words AND n_words - coalesce(lost.n, 0) < 10)) AS kept
 FROM counts c LEFT JOIN lost ON lost.r = c.r""",
     "op3_source_mix": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, len([y for y in regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') if y <> ''])::BIGINT AS size FROM documents),
