@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom import config
 from graphloom.functions import partitions, vocab
 from graphloom.functions.draws import host_between
-from graphloom.operators import distances, layout, splits, verify
+from graphloom.operators import distances, layout, measures, splits, verify
 from graphloom.plans import dataset
 from graphloom.sources import registry, shaped_graphs
 
@@ -27,6 +27,8 @@ task_gather_ids, scratchpad_gather_ids = layout.task_ids, layout.scratchpad_ids
 edge_gather_ids, node_gather_ids, query_gather_ids = layout.edge_ids, layout.node_ids, layout.query_ids
 create_reconstruct_graphs = layout.reconstructed
 pprint_batch = layout.pretty
+pprint_distance, pprint_ranks = measures.pretty_distances, measures.pretty_ranks
+batch_check = measures.usable
 all_pairs_distances = distances.distances
 
 

@@ -103,3 +103,22 @@ def profile(instances: DataFrame) -> DataFrame:
     """Numbers of instances, mean nodes and edges by (graph_type, task_type), with subtotals, from
     instances(graph_type, task_type, n, e)."""
     return instances.rollup("graph_type", "task_type").agg(F.count("*").alias("instances"), F.avg("n").alias("nodes"), F.avg("e").alias("edges"))
+
+
+def pretty_distances(dense: DataFrame) -> DataFrame:
+    """(inst, src, text): each row of a dense distance table (inst, src, dst, d) as text, for reading."""
+    row = F.array_sort(F.collect_list(F.struct("dst", "d")))
+    return dense.groupBy("inst", "src").agg(F.array_join(F.transform(row, lambda x: F.lpad(x["d"].cast("string"), 4, " ")), "").alias("text"))
+
+
+def pretty_ranks(ranks: DataFrame) -> DataFrame:
+    """(inst, node, text): a node's neighbours by distance, as ``1: 4 7 | 2: 9``."""
+    own = F.array_sort(F.collect_list(F.struct("rank", "ties")))
+    line = lambda x: F.concat(x["rank"].cast("string"), F.lit(": "), F.array_join(F.transform(x["ties"], lambda t: t.cast("string")), " "))
+    return ranks.groupBy("inst", "node").agg(F.array_join(F.transform(own, line), " | ").alias("text"))
+
+
+def usable(packaged: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Instances that a trainer can take: with tokens, with a target, and no longer than ``max_length``."""
+    out = packaged.filter((F.size("src_tokens") > 0) & (F.size("prev_output_tokens") > 0))
+    return out.filter(F.col("src_lengths") <= max_length) if max_length else out

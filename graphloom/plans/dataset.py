@@ -32,6 +32,12 @@ class Dataset:
     packaged: DataFrame
     hashes: DataFrame
 
+    def close(self) -> None:
+        """Lets go of what the batch keeps in memory."""
+        for kept in (self.edges, self.dist, self.ends):
+            if kept is not None:
+                kept.unpersist()
+
 
 def _vocab(options: dict, graph_type: str = "") -> Vocab:
     """The vocabulary given, or one with an id for each node of the largest graph."""

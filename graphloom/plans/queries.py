@@ -275,7 +275,8 @@ way(inst, step, node) AS (SELECT inst, 0, start FROM ends UNION ALL SELECT w.ins
 
 def _paths(spark, sf):
     edges = lineitem_edges(spark, sf)
-    dist = D.distances(edges)
+    # dealt by instance once: all that reads the distances reads that one exchange
+    dist = D.distances(edges).repartition("inst")
     return edges, dist, paths.shortest_paths(edges, dist, paths.start_end(dist, _PATH, SEED), SEED)
 
 

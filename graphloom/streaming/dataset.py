@@ -44,6 +44,7 @@ def train(spark: SparkSession, edges: DataFrame, split_hashes: DataFrame, sink:
         if epochs_of:
             out = out.withColumn("epoch", F.lit(number // epochs_of))
         sink(out, number)
+        data.close()
 
     return edges.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -99,6 +99,9 @@ def test_lone_nodes_unknown_plans_and_dense_forms(spark):
     with pytest.raises(ValueError):
         D.distances(edges, plan="best")
     assert D.distances(edges.limit(0)).count() == 0
+    dense = D.densified(D.distances(edges), spark.createDataFrame([(0, n) for n in (0, 1, 2)], "inst long, node int"))
+    assert {r.src: r.text.split() for r in measures.pretty_distances(dense).collect()} == {0: ["0", "-1", "1"], 1: ["-1", "-1", "-1"], 2: ["1", "-1", "0"]}
+    assert {r.node: r.text for r in measures.pretty_ranks(measures.node_ranks(D.distances(edges))).collect()} == {0: "0: 0 | 1: 2", 2: "0: 2 | 1: 0"}
     names = order.node_map(nodes, 10, 14, 1)
     packed = D.packaged_distances(D.distances(edges), names)
     dense = D.distance_tensor(packed, 15).collect()[0].distances
