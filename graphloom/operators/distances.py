@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.shipping import ship
+from graphloom.functions.shipping import own_folder, ship
 from graphloom.sources.tables import arcs, nodes
 
 _SCHEMA = "inst long, src int, dst int, d int"
@@ -133,9 +133,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, so that plans don't grow with the number of levels."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder())
     return df.checkpoint()
 
 
