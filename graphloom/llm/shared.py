@@ -6,7 +6,6 @@ re-read and never a recomputation from the source.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from collections.abc import Callable, Iterator
@@ -14,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.functions.shipping import ship
+from graphloom.functions.shipping import own_folder, ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(own_folder())
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
