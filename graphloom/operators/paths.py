@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import PathArgs
-from graphloom.functions.draws import draw, uniform
+from graphloom.functions.draws import draw, host_draw, uniform
+from graphloom.functions.kernels import map_instances
 from graphloom.functions.vocab import Vocab
+from graphloom.operators.distances import told_graphs
 from graphloom.sources.tables import arcs
 
 #: Lengths drawn before any pair will do.
@@ -80,16 +82,55 @@ def label_smoothing(paths: DataFrame, edges: DataFrame, dist: DataFrame, directe
     return other.groupBy("inst", "step", "node").agg(labels.alias("labels"))
 
 
+def told_paths(edges: DataFrame, ends: DataFrame, seed: int, directed: bool = False) -> DataFrame:
+    """(inst, start, end, path, labels): what :func:`shortest_paths` and :func:`label_smoothing` give, in one pass over
+    graphs that each fit one row. One search back from the end tells how far every node is; no distances are joined."""
+
+    def kernel(row: dict) -> list[dict]:
+        out: dict[int, set[int]] = {}
+        back: dict[int, set[int]] = {}
+        for u, v in zip(row["us"], row["vs"], strict=True):
+            for a, b in ((u, v),) if directed else ((u, v), (v, u)):
+                out.setdefault(a, set()).add(b)
+                back.setdefault(b, set()).add(a)
+        inst, start, end = row["inst"], row["start"], row["end"]
+        left, front = {end: 0}, [end]
+        while front and start not in left:
+            front = [x for y in front for x in back.get(y, ()) if x not in left and left.setdefault(x, left[y] + 1)]
+        if start not in left:
+            return []
+        path, labels = [start], [[start]]
+        while path[-1] != end:
+            at = path[-1]
+            good = sorted(x for x in out[at] if left.get(x) == left[at] - 1)
+            step = min(good, key=lambda x: (host_draw(seed, "step", inst, at, x), x))
+            path.append(step)
+            labels.append([step, *(x for x in good if x != step)])
+        return [{"inst": inst, "start": start, "end": end, "path": path, "labels": labels}]
+
+    rows = told_graphs(edges).join(ends.select("inst", "start", "end"), "inst")
+    return map_instances(rows, kernel, "inst long, start int, end int, path array<int>, labels array<array<int>>")
+
+
+def label_rows(told: DataFrame) -> DataFrame:
+    """(inst, step, node, labels) of told paths."""
+    each = told.select("inst", F.posexplode(F.arrays_zip("path", "labels")).alias("step", "x"))
+    return each.select("inst", "step", F.col("x.path").alias("node"), F.col("x.labels").alias("labels"))
+
+
 def paths_of_trace(traces: DataFrame) -> DataFrame:
     """(inst, start, end, path) of the search that a scratchpad tells, to be the task's path."""
     return traces.select("inst", F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("end"), "path")
 
 
-def path_tokens(paths: DataFrame, labels: DataFrame, tokens: DataFrame, vocab: Vocab) -> DataFrame:
+def path_tokens(paths: DataFrame, labels: DataFrame | None, tokens: DataFrame, vocab: Vocab) -> DataFrame:
     """(inst, query, task, targets, difficulty): ``/ start end ?`` and ``= path .`` with a list of labels for each task
-    token, from tokens(inst, tokens): the id of every node, by node."""
-    by_step = labels.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("step", "labels"))).alias("l"))
-    rows = paths.join(by_step, "inst").join(tokens, "inst")
+    token, from tokens(inst, tokens): the id of every node, by node. Without ``labels``, paths have their own."""
+    if labels is None:
+        rows = paths.withColumn("l", F.transform("labels", lambda x: F.struct(x.alias("labels")))).join(tokens, "inst")
+    else:
+        by_step = labels.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("step", "labels"))).alias("l"))
+        rows = paths.join(by_step, "inst").join(tokens, "inst")
     of = lambda x: F.get("tokens", x)
     query = F.array(vocab.lit("/"), of(F.col("start")), of(F.col("end")), vocab.lit("?"))
     task = F.concat(F.array(vocab.lit("=")), F.transform("path", of), F.array(vocab.lit(".")))

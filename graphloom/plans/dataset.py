@@ -95,9 +95,9 @@ def _of_graphs(nodes, edges, ends, directed, graph_type, task_type, scratchpad_t
             way = paths.paths_of_trace(traces.filter("found"))
             scratch = search.dfs_tokens(traces, tokens, vocab, bfs.unique_depth_markers).select("inst", "scratchpad")
         else:
-            way = paths.shortest_paths(edges, dist, ends, seed, directed)
+            way = paths.told_paths(edges, ends, seed, directed)
         # a searched path is the task as it was found: no other labels
-        labels = paths.label_smoothing(way, edges, dist, directed) if scratch is None else way.select("inst", F.posexplode("path").alias("step", "node")).select("inst", "step", "node", F.array("node").alias("labels"))
+        labels = None if scratch is None else way.select("inst", F.posexplode("path").alias("step", "node")).select("inst", "step", "node", F.array("node").alias("labels"))
         parts = paths.path_tokens(way, labels, tokens, vocab)
     graph = layout.graph_tokens(edges, order.node_order(edges), tokens, vocab, positions, tok, pos)
     parts = parts.join(graph, "inst")

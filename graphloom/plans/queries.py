@@ -291,6 +291,18 @@ LEFT JOIN towards y ON y.inst = w.inst AND y.node = w.node
 LEFT JOIN (SELECT DISTINCT a.inst, a.u, a.v AS node, x.rest FROM arcs a JOIN towards x ON x.inst = a.inst AND x.node = a.v) o ON o.inst = w.inst AND o.u = b.node AND o.rest = y.rest GROUP BY w.inst, w.step, w.node)"""
 
 
+def _told(spark, sf):
+    """The same paths with their labels, in one pass over told graphs: the plan for many small graphs."""
+    edges = lineitem_edges(spark, sf)
+    dist = D.distances(edges)
+    return edges, dist, paths.told_paths(edges, paths.start_end(dist, _PATH, SEED), SEED)
+
+
+@query(f"{_DIST}, {_ENDS}, {_WAY} SELECT inst, string_agg(node::VARCHAR, ' ' ORDER BY step) AS path FROM way GROUP BY inst")
+def told_paths(spark, sf):
+    return _told(spark, sf)[2].select("inst", _joined("path", " ").alias("path"))
+
+
 @query(f"{_DIST}, {_ENDS}, {_WAY}, {_LABELS} SELECT inst, step, node, labels FROM labels")
 def label_smoothing(spark, sf):
     edges, dist, way = _paths(spark, sf)
@@ -301,8 +313,8 @@ def label_smoothing(spark, sf):
 SELECT w.inst, '13 ' || any_value(s.t) || ' ' || any_value(f.t) || ' 14' AS query, '6 ' || string_agg(k.t::VARCHAR, ' ' ORDER BY w.step) || ' 7' AS task, count(*)::INT AS difficulty
 FROM way w JOIN tok k ON k.inst = w.inst AND k.node = w.node JOIN ends e ON e.inst = w.inst JOIN tok s ON s.inst = w.inst AND s.node = e.start JOIN tok f ON f.inst = w.inst AND f.node = e."end" GROUP BY w.inst""")
 def path_tokens(spark, sf):
-    edges, dist, way = _paths(spark, sf)
-    out = paths.path_tokens(way, paths.label_smoothing(way, edges, dist), paths.node_tokens(_node_map(edges)), VOCAB)
+    edges, _, way = _told(spark, sf)
+    out = paths.path_tokens(way, None, paths.node_tokens(_node_map(edges)), VOCAB)
     return out.select("inst", _joined("query", " ").alias("query"), _joined("task", " ").alias("task"), "difficulty")
 
 
@@ -357,9 +369,9 @@ def dfs_tokens(spark, sf):
 
 # -------------------------------------------------------------------------------------------------------------- layout
 def _instances(spark, sf, tok: TokenArgs, pos: PosArgs):
-    edges, dist, way = _paths(spark, sf)
+    edges, _, way = _told(spark, sf)
     tokens = paths.node_tokens(_node_map(edges))
-    parts = paths.path_tokens(way, paths.label_smoothing(way, edges, dist), tokens, VOCAB)
+    parts = paths.path_tokens(way, None, tokens, VOCAB)
     graph = layout.graph_tokens(edges, order.node_order(edges), tokens, VOCAB, POSITIONS, tok, pos)
     return layout.instance_tokens(parts.join(graph, "inst").withColumn("scratchpad", F.lit(None).cast("array<int>")), VOCAB, POSITIONS, tok, pos)
 
@@ -447,7 +459,7 @@ def split_mask(spark, sf):
 SELECT inst, CASE inst % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -5 ELSE 0 END::INT AS code FROM told""")
 def verify_paths(spark, sf):
     """Right paths, paths cut short, paths with a hop to the same node, and paths that go one step back and forth."""
-    edges, dist, way = _paths(spark, sf)
+    edges, dist, way = _told(spark, sf)
     tokens = paths.node_tokens(_node_map(edges))
     own = way.join(tokens, "inst").withColumn("t", F.transform("path", lambda x: F.get("tokens", x)))
     first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
@@ -629,6 +641,6 @@ def user_sessions(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Graphs from a table, distances, a shortest path each with all its labels, as tokens."""
-    edges, dist, way = _paths(spark, sf)
-    out = paths.path_tokens(way, paths.label_smoothing(way, edges, dist), paths.node_tokens(_node_map(edges)), VOCAB)
+    edges, _, way = _told(spark, sf)
+    out = paths.path_tokens(way, None, paths.node_tokens(_node_map(edges)), VOCAB)
     return out.select("inst", _joined("query", " ").alias("query"), _joined("task", " ").alias("task"), F.array_join(F.transform("targets", lambda r: _joined(r)), " ").alias("targets"), "difficulty")

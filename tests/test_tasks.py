@@ -74,6 +74,10 @@ def test_paths_and_labels(batch):
             assert r.labels == [p[r.step], *sorted(j for j in others if j != p[r.step])]
         else:
             assert r.labels == [p[0]]
+    told = paths.told_paths(edges, ends, 1)
+    assert {r.inst: r.path for r in told.collect()} == rows
+    assert sorted(map(tuple, paths.label_rows(told).collect())) == sorted(map(tuple, paths.label_smoothing(way, edges, dist).select("inst", "step", "node", "labels").collect()))
+    assert sorted(map(str, paths.path_tokens(told, None, tokens, VOCAB).collect())) == sorted(map(str, paths.path_tokens(way, paths.label_smoothing(way, edges, dist), tokens, VOCAB).collect()))
     of = {r.inst: r.tokens for r in tokens.collect()}
     for r in paths.path_tokens(way, paths.label_smoothing(way, edges, dist), tokens, VOCAB).collect():
         p = [of[r.inst][x] for x in rows[r.inst]]
