@@ -12,8 +12,8 @@ Equal sets are one node from the start, whatever their number. Then
   decides: whoever links with anyone there links with it, and a star round it keeps every component.
 * sets at or above it are *heavy*: they are listed under their first shingles in one global order, rarest first, as
   many as make sure that linked sets meet. Each list first links to its pivot (the set with most copies); then
-  only pairs that are still in different components are tried. Candidates pass an exact bound from 512-bit parity
-  maps, and the survivors are verified on whole sets.
+  only pairs that are still in different components are tried. Candidates pass an exact bound from parity maps, and
+  the survivors are verified on whole sets.
 * sets just above the boundary are both, so that a light and a heavy set meet.
 
 The boundary is the one of least estimated cost under the corpus's own histogram of set sizes. The order of shingles
@@ -43,23 +43,23 @@ FEW_IDS = 1 << 20
 LIGHT_LIMIT = 48
 #: Cost of an entry of an inverted list, verification included, against one subset key.
 LIST_COST = 6.0
-_CHUNK = 1 << 22
-_PARITY = 512
+_CHUNK = 1 << 20
 
 
 def _shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data, at = K.utf8(texts)
-    starts, ends, first = K.segment(data, at, K.SPACED)
-    words = K.hash_words(data, starts, ends)
-    grams = K.runs(words, k)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
-        elif b > a:
-            yield np.array([K.whole(words[a:b])], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+    for part in K.slices(texts):
+        data, at = K.utf8(part)
+        starts, ends, first = K.segment(data, at, K.SPACED)
+        words = K.hash_words(data, starts, ends)
+        grams = K.runs(words, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                yield np.unique(grams[a : b - k + 1])
+            elif b > a:
+                yield np.array([K.whole(words[a:b])], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -172,9 +172,28 @@ def _subset_keys(grams: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parity(grams: np.ndarray) -> np.ndarray:
-    """Bit i of 512 is set if an odd number of shingles fall on it; maps differ in no more bits than sets differ."""
-    odd = (np.bincount((K.mix64(grams ^ np.uint64(0x5EED)) >> np.uint64(55)).astype(np.int64), minlength=_PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    """Bit i is set if an odd number of shingles fall on it; two maps differ in no more bits than the sets differ.
+
+    A map has a power of two of bits, 512 at least and as many as shingles, for else those of large sets would look
+    alike. Halves laid over each other (xor) make the map of half the size.
+    """
+    bits = max(512, 1 << max(0, len(grams) - 1).bit_length())
+    odd = (np.bincount((K.mix64(grams ^ np.uint64(0x5EED)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _differ(a: str, b: str) -> Column:
+    """In how many bits two maps differ at least; the longer one is halved to the size of the other, which for linked
+    sets takes one step."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    x, y = F.col(a), F.col(b)
+    each = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    # maps that are still of different sizes belong to sets that can't link
+    return F.when(F.size(folded(x, y)) == F.size(folded(y, x)), F.aggregate(each, F.lit(0), lambda s, v: s + v))
 
 
 _SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, parity array<long>, listed array<long>, subset array<long>, subset_size array<int>"
@@ -236,8 +255,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     ends = pairs.distinct()
     for side in ("a", "b"):
         ends = ends.join(short.select(F.col("node").alias(side), F.col("parity").alias(f"p{side}"), F.col("n").alias(f"n{side}")), side)
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = materialize(ends.filter(differ <= _allowed(percent)).select("a", "b", "na", "nb"), "near")
+    near = materialize(ends.filter(_differ("pa", "pb") <= _allowed(percent)).select("a", "b", "na", "nb"), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(shingle_sets(_pick(docs, ids), k).groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
     for side in ("a", "b"):
@@ -258,9 +276,11 @@ def _light_links(nodes: DataFrame, percent: int) -> DataFrame:
 def _heavy_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, known: DataFrame) -> DataFrame:
     """Links among heavy sets that, with ``known`` ones, make all components."""
     each = nodes.filter("listed is not null").select("node", "n", "copies", F.posexplode("listed").alias("place", "gram"))
+    # most shingles are listed once: only their hashes are counted, and only the others' entries go on
+    shared = each.groupBy("gram").agg(F.count("*").alias("of")).filter("of > 1").drop("of")
+    entries = materialize(each.join(shared, "gram"), "entries")
     pivot = F.max_by(F.struct("node", "n"), F.struct("copies", -F.col("n"), -F.col("node")))
-    pivots = each.groupBy("gram").agg(pivot.alias("pivot"), F.count("*").alias("of")).filter("of > 1").drop("of")
-    lists = materialize(each.join(pivots, "gram").select("gram", "node", "n", "place", "pivot"), "lists")
+    lists = entries.drop("copies").join(entries.groupBy("gram").agg(pivot.alias("pivot")), "gram")
 
     def possible(na: str, nb: str, pa_: str, pb: str) -> Column:
         """Sizes, and what is left from the shared shingle on, allow a link: so it is for the first one that a linked pair shares."""
@@ -293,6 +313,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     neither representative nor component. Rows with one doc_id count as one document with the links of each. Other
     columns are ignored; an empty table gives no rows. Very long texts are taken whole.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     light, keys, n = _statistics(docs, k, percent)

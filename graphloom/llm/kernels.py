@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)  # odd, so its powers never vanish
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 #: `[^\x20\x09-\x0D]+`
 SPACED = np.ones(256, dtype=bool)
@@ -51,7 +51,7 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of a text column of about ``most`` bytes, one text at least: the kernels' memory is a multiple
     of a part, whatever the size of a batch."""
     end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
