@@ -11,7 +11,10 @@ assigned to the slots of the patterns; offsets follow from the true lengths, so
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,16 @@ CLASSES = 512
 
 
 # ----------------------------------------------------------------------------------------------------- tokenisation
+#: Words of printable Latin-1 characters without apostrophe: the tokenizer cuts them into runs of letters, single
+#: numerals and runs of anything else, and lower-cases them character by character.
+_PLAIN = re.compile(r"[\x21-\x26\x28-\x7e\xa1-\xff]+")
+_RUNS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
+
 class WordCache:
-    """Ids, as little-endian unsigned 32-bit bytes, by piece of text between spaces and line breaks, which the tokenizer
-    never joins. Bounded: it starts anew when it holds too much."""
+    """Ids, as little-endian unsigned 32-bit bytes, of texts, for tokenizers that end every word with a mark and drop
+    white space. Kept by word between spaces and line breaks, which such a tokenizer never joins, and below that by run,
+    which it never joins either. Bounded: a part that holds too much starts anew."""
 
     def __init__(self, path: str, plain: bool = False, most: int = 1 << 20):
         from tokenizers import Tokenizer
@@ -36,42 +46,69 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain  # their strings in a text are then ordinary text
         self.most = most
-        self.ids: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        get = self.ids.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in self.ids})
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(get, words))
+        new = set(words).difference(self.words)
+        if new:
+            if len(self.words) + len(new) > self.most:
+                self.words.clear()
+                new = set(words)
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, new: set[str]) -> None:
+        plain, runs_of = _PLAIN.fullmatch, _RUNS.findall
+        cut = {w: runs_of(w.lower()) for w in new if plain(w) and "<|" not in w}
+        runs = set(chain.from_iterable(cut.values())).difference(self.runs)
+        if len(self.runs) + len(runs) > max(self.most, 1 << 19):
+            self.runs.clear()
+            runs = set(chain.from_iterable(cut.values()))
+        self._learn_runs(list(runs))
+        get = self.runs.__getitem__
+        self.words.update((w, b"".join(map(get, rs))) for w, rs in cut.items())
+        whole = [w for w in new if w not in cut] if len(cut) < len(new) else []
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 4096):
+            part = runs[i : i + 4096]
+            # one text of all runs: each ends with the only id that is marked as an end
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and (not len(part) or last[-1] == len(ids)):
+                data = ids.tobytes()
+                at = [0, *(4 * last).tolist()]
+                self.runs.update((r, data[a:b]) for r, a, b in zip(part, at, at[1:], strict=False))
+            else:
+                for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.runs[r] = np.array(e.ids, "<u4").tobytes()
 
 
 _CACHES: dict[tuple[str, bool], WordCache] = {}
 
 
-def cached(path: str, plain: bool = False) -> WordCache:
-    """The worker's cache for a tokenizer file: it lives as long as the Python worker."""
+def cached(path: str, plain: bool = False, most: int = 1 << 20) -> WordCache:
+    """The worker's cache for a tokenizer file: it lives as long as the Python worker. An entry takes some 200 bytes."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     if (path, plain) not in _CACHES:
-        _CACHES[path, plain] = WordCache(path, plain)
+        _CACHES[path, plain] = WordCache(path, plain, most)
     return _CACHES[path, plain]
 
 
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, seq_len: int) -> Iterator[pa.RecordBatch]:
+def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, seq_len: int, dtype: str) -> Iterator[pa.RecordBatch]:
     encode = cached(path).encode
     end = np.array([end_id], "<u4").tobytes()
+    width = np.dtype(dtype).itemsize
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens")), ("ids", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
@@ -79,23 +116,25 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = encode(text.as_py() or "") + end
             n = len(ids) // 4
-            rows += [(doc, i, min(seq_len, n - i), n, ids[4 * i : 4 * (i + seq_len)]) for i in range(0, n, seq_len)]
+            if width != 4:
+                ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes()
+            rows += [(doc, i, min(seq_len, n - i), n, ids[width * i : width * (i + seq_len)]) for i in range(0, n, seq_len)]
             held += len(ids)
-            if held > 1 << 24:
+            if held > 1 << 22:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows, held = [], 0
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = 4096) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = 4096, dtype: str = "<u4") -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut every ``seq_len`` ids.
 
-    ids: little-endian unsigned 32-bit. A null text is empty and has ``end_id`` alone; a null doc_id stays null;
+    ids: the bytes of numbers of ``dtype``, little-endian unsigned 32-bit if not given. A null text is empty and has ``end_id`` alone; a null doc_id stays null;
     repeated rows each have their pieces; an empty table gives none; other columns are ignored.
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(thin, lambda it: _piece_batches(it, tokenizer, end_id, seq_len), _PIECES)
+    return map_arrow(thin, lambda it: _piece_batches(it, tokenizer, end_id, seq_len, dtype), _PIECES)
 
 
 # ------------------------------------------------------------------------------------------------------- patterns
@@ -122,7 +161,7 @@ def _knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), count
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 4000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 4e-3, most: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns (pieces of each size) and how often to run each, so that every demand is met exactly.
 
     sizes ascend. The linear program is solved to within ``gap`` of its bound by column generation over a dense basis;
@@ -181,10 +220,11 @@ def _best_fit(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.n
 
 
 # -------------------------------------------------------------------------------------------------------- packing
-def pack(pieces: DataFrame, seq_len: int = 4096, classes: int = CLASSES) -> DataFrame:
+def pack(pieces: DataFrame, seq_len: int = 4096, classes: int = CLASSES, payload: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` (with doc_id, start and length, 1 to ``seq_len``) with sequence_id and offset.
 
-    In each sequence offsets run from 0 without gaps and lengths add up to ``seq_len`` at most. Rows that agree in
+    Columns named in ``payload`` take no part in the planning: they stay where they were written and are joined to the
+    plan once, at the end. Give wide columns so. In each sequence offsets run from 0 without gaps and lengths add up to ``seq_len`` at most. Rows that agree in
     everything are packed one by one, in either order. An empty table gives no rows.
     """
     if seq_len % classes:
@@ -192,7 +232,8 @@ def pack(pieces: DataFrame, seq_len: int = 4096, classes: int = CLASSES) -> Data
     spark = pieces.sparkSession
     unit = seq_len // classes
     kind = F.ceil(F.col("length") / unit).cast("int")
-    held = materialize(pieces.withColumn("_class", kind).withColumn("_part", F.spark_partition_id()), "pieces")
+    whole = materialize(pieces.withColumns({"_class": kind, "_part": F.spark_partition_id(), "_piece": F.monotonically_increasing_id()}), "pieces")
+    held = whole.drop(*payload)
     counts = materialize(held.groupBy("_class", "_part").agg(F.count("*").alias("n")), "piece-counts")
     total = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("n").alias("n")).collect()}
     sizes = np.array(sorted(total), np.int64)
@@ -216,4 +257,7 @@ def pack(pieces: DataFrame, seq_len: int = 4096, classes: int = CLASSES) -> Data
     placed = placed.withColumn("sequence_id", F.col("_first") + (F.col("_rank") - F.col("_low")) % F.col("_times"))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(order), F.lit(0))
-    return placed.withColumn("offset", offset).select(*pieces.columns, "sequence_id", "offset")
+    placed = placed.withColumn("offset", offset)
+    if payload:
+        placed = placed.join(whole.select("_piece", *payload), "_piece")
+    return placed.select(*pieces.columns, "sequence_id", "offset")

@@ -33,7 +33,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bl
     from pyspark import TaskContext
 
     file = TaskContext.get().partitionId()
-    encode = cached(path, plain=True).encode
+    encode = cached(path, plain=True, most=1 << 18).encode
     schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("docs", pa.list_(pa.int64()))])
     whole = block * np.dtype(dtype).itemsize
     end = np.array([end_id], "<u4").tobytes()

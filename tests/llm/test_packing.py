@@ -54,6 +54,8 @@ def test_odd_texts(spark):
 
     check(packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids"))).collect(), dict(enumerate(ODD)))
     assert packing.pack(packing.token_pieces(docs.limit(0), PATH)).count() == 0
+    for r in packing.pack(packing.token_pieces(docs, PATH, dtype="<u2"), payload=("ids",)).collect():
+        assert np.frombuffer(r.ids, "<u2").tolist() == whole(ODD[r.doc_id])[r.start : r.start + r.length]
 
 
 def test_cutting_stock_meets_demand_with_little_waste():
