@@ -31,15 +31,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TABLES: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`materialize` has written so far: for jobs whose steps read only what the step before
+    has written, at the beginning of each step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back; its plan starts at that table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers.
+
+    Rows are whole texts here: Spark's default of 10,000 rows a batch, if nobody has changed it, is lowered for the session,
+    so that a batch of texts stays small in the JVM and in the worker.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, "1000")
     return df.mapInArrow(fn, schema)

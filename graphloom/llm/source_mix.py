@@ -21,8 +21,9 @@ from graphloom.llm.shared import materialize
 #: Words of an output shard and of a block: about 200 and 25 MB of text.
 SHARD_WORDS = 1 << 25
 BLOCK_WORDS = 1 << 22
-#: A small corpus has smaller blocks, so many in all.
+#: A small corpus has smaller blocks and shards, so many in all.
 LEAST_BLOCKS = 1024
+LEAST_SHARDS = 32
 
 
 def _draw(*key) -> Column:
@@ -85,7 +86,8 @@ class _Plan:
         self.sizes = materialize(_sized(docs, source).drop("_doc"), "sizes")
         total = self.sizes.agg(F.sum("size")).first()[0] or 0
         self.block_words = max(1, min(block_words, total // LEAST_BLOCKS))
-        self.levels = max(0, (max(1, int(share * total)) - 1) // shard_words).bit_length()
+        shard_words = max(1, min(shard_words, -(-int(share * total) // LEAST_SHARDS)))
+        self.levels = (max(0, int(share * total) - 1) // shard_words).bit_length()
         targets = source_targets(self.sizes, share, cap, weights)
         slot = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("int")
         n = F.greatest(F.lit(1), F.least(F.col("n_docs"), F.round(F.col("source_size") / self.block_words).cast("long")))
