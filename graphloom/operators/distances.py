@@ -118,18 +118,18 @@ def _array(edges: DataFrame, directed: bool) -> DataFrame:
 def _frontier(edges: DataFrame, directed: bool) -> DataFrame:
     step = arcs(edges, directed).select("inst", F.col("u").alias("dst"), F.col("v").alias("to")).persist()
     front = nodes(edges).select("inst", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("d"))
-    seen = front = _cut(front)
+    seen = front = cut(front)
     d = 0
     while not front.isEmpty():
         d += 1
         reached = front.join(step, ["inst", "dst"]).select("inst", "src", F.col("to").alias("dst")).distinct()
-        front = _cut(reached.join(seen, ["inst", "src", "dst"], "left_anti").withColumn("d", F.lit(d)))
-        seen = _cut(seen.unionByName(front))
+        front = cut(reached.join(seen, ["inst", "src", "dst"], "left_anti").withColumn("d", F.lit(d)))
+        seen = cut(seen.unionByName(front))
     step.unpersist()
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, so that plans don't grow with the number of levels."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.operators import splits
+from graphloom.operators.distances import cut
 from graphloom.plans import dataset
 from graphloom.sources import registry
 
@@ -61,7 +62,9 @@ def static_set(spark: SparkSession, split: str, size: int, seed: int, graph_type
     first, made, found = 0, None, 0
     while found < size:
         data = dataset.build(spark, graph_type, seed=seed, first=first, batch_size=step, **options)
-        one = data.packaged.drop("batch_id").join(data.hashes, "inst")
+        # written to the checkpoint folder: the plan doesn't grow with the number of batches
+        one = cut(data.packaged.drop("batch_id").join(data.hashes, "inst"))
+        data.close()
         made = one if made is None else made.unionByName(one)
         first += step
         found = splits.first_of_each(made.select("inst", "hash"), size).count()
