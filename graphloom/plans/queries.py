@@ -507,9 +507,9 @@ def event_tokens(spark, sf):
     return event_sequences(spark, sf)
 
 
-@query(f"{_SEQ} SELECT inst, i, token, ptr FROM back")
+@query(f"{_SEQ} SELECT inst, i, token, coalesce(ptr, -1) AS ptr FROM back")
 def back_pointers(spark, sf):
-    return khops.back_pointers(event_sequences(spark, sf))
+    return khops.back_pointers(event_sequences(spark, sf)).fillna(-1, ["ptr"])
 
 
 @query(f"{_SEQ} SELECT h.inst, h.hop::INT AS hop, h.i, s.token AS value FROM hop h JOIN seq s ON s.inst = h.inst AND s.i = h.ptr")
@@ -620,11 +620,11 @@ def connected_graphs(spark, sf):
 
 # -------------------------------------------------------------------------------------------------- reports and streams
 @query(f"""WITH {_EDGES}, g AS (SELECT inst, CASE WHEN inst % 2 = 0 THEN 'even' ELSE 'odd' END AS graph_type, CASE WHEN count(*) >= 20 THEN 'dense' ELSE 'sparse' END AS task_type, count(*) AS e FROM edges GROUP BY inst)
-SELECT graph_type, task_type, count(*) AS instances, round(avg(e), 6) AS edges FROM g GROUP BY ROLLUP (graph_type, task_type)""")
+SELECT coalesce(graph_type, 'all') AS graph_type, coalesce(task_type, 'all') AS task_type, count(*) AS instances, round(avg(e), 6) AS edges FROM g GROUP BY ROLLUP (graph_type, task_type)""")
 def profile_rollup(spark, sf):
     size = lineitem_edges(spark, sf).groupBy("inst").agg(F.count("*").alias("e"))
     kind = size.select(F.when(F.col("inst") % 2 == 0, "even").otherwise("odd").alias("graph_type"), F.when(F.col("e") >= 20, "dense").otherwise("sparse").alias("task_type"), F.lit(NODES).alias("n"), "e")
-    return measures.profile(kind).select("graph_type", "task_type", "instances", F.round("edges", 6).alias("edges"))
+    return measures.profile(kind).fillna("all", ["graph_type", "task_type"]).select("graph_type", "task_type", "instances", F.round("edges", 6).alias("edges"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
