@@ -63,3 +63,26 @@ def test_held_out_topic_is_told_apart(spark):
     held = [(r.score > 0) == bool(r.doc_id % 2) for r in out if r.doc_id >= 0 and not (r.doc_id % 2 and r.doc_id % 3)]
     assert sum(held) / len(held) > 0.95
     assert lm_scoring.cross_entropy_difference(spark.createDataFrame([], SCHEMA), good).count() == 0
+
+
+def test_unseen_pairs_stay_unseen_in_a_large_corpus(spark):
+    """Counts are exact by word and pair, with more distinct pairs than any fixed table of 2**22 places keeps apart."""
+    draw = random.Random(5)
+    n = 40000
+    docs = spark.range(600).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 10000), i -> cast(pmod(xxhash64(id, i), {n}) as string)), ' ') as text")
+    seen = " ".join(str(draw.randrange(n)) for _ in range(2000))
+    docs = docs.union(spark.createDataFrame([(-1, seen)], "doc_id long, text string"))
+    rows = {r.doc_id: r.text.split() for r in docs.collect()}
+    (got,) = lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(0,)], "doc_id long")).filter("doc_id = -1").collect()
+    single, pair = Counter(), Counter()
+    wanted = set(zip(rows[-1], rows[-1][1:], strict=False))
+    for d, w in rows.items():
+        if d != -1:
+            single.update(w)
+            pair.update(p for p in zip(w, w[1:], strict=False) if p in wanted)
+    total, loss = sum(single.values()), 0.0
+    for i, x in enumerate(rows[-1]):
+        p = 0.95 * single[x] / total + 0.05 / (1 << 20)
+        h, j = (single[rows[-1][i - 1]], pair[rows[-1][i - 1], x]) if i else (0, 0)
+        loss -= math.log((j + 16 * p) / (h + 16))
+    assert got.background_loss == pytest.approx(loss / len(rows[-1]), abs=1e-6)
