@@ -5,9 +5,8 @@ windows) need no shuffle. The cross-document rule hashes every normalised line (
 counts the distinct documents of each (host, line), and drops the lines that are above the limit of their host; a
 document that loses too large a part of its words is rejected.
 
-Copies of one document are not evidence that its lines are boilerplate, so documents count by their *context*: the
-smallest line hash of the document among the other lines. Exact and near copies share it; pages that only share a
-header or a notice do not.
+Copies of one document are not evidence that its lines are boilerplate, so documents are told apart by a hash of their
+whole normalised text: copies count once, and any two different texts count as two.
 """
 
 from __future__ import annotations
@@ -68,10 +67,9 @@ def _bind(value: Column, use) -> Column:
 
 def text_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the arrays _lines
-    (hash and words of every line that has a word) and _context (a hash of the longest word; null without words)."""
+    (hash and words of every line that has a word) and _copy (a hash of the normalised text; null without words)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.withColumn("_words", words_of(text)).withColumn("_raw", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.char_length(w), w)))
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.char_length(F.regexp_replace(text, _SPACE, "")).cast("long"),
@@ -79,7 +77,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_raw") - F.size(F.array_distinct("_raw"))).cast("long"),
         "n_repeat_words": _repeat_words(F.col("_words")),
         "_lines": F.transform("_raw", _line),
-        "_context": F.when(F.size("_words") > 0, F.xxhash64(longest)),
+        "_copy": F.when(F.size("_words") > 0, _line_hash(F.col("_words"))),
     })
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.drop("_words", "_raw").withColumn("base_failed", failed)
@@ -99,9 +97,9 @@ def frequent_lines(rules: DataFrame, host: str, max_documents: int, max_share: f
 
     A host has at most (mean lines of its documents / max_share) of them, whatever its size.
     """
-    lines = rules.select(host, "_context", F.explode(F.transform("_lines", lambda x: x["h"])).alias("h"))
-    counts = lines.groupBy(host, "h").agg(F.count_distinct("_context").alias("c")).filter(F.col("c") > max_documents)
-    whole = rules.groupBy(host).agg(F.count_distinct("_context").alias("of")).withColumnRenamed(host, "_host")
+    lines = rules.select(host, "_copy", F.explode(F.transform("_lines", lambda x: x["h"])).alias("h"))
+    counts = lines.groupBy(host, "h").agg(F.count_distinct("_copy").alias("c")).filter(F.col("c") > max_documents)
+    whole = rules.groupBy(host).agg(F.count_distinct("_copy").alias("of")).withColumnRenamed(host, "_host")
     above = counts.join(whole, F.col(host).eqNullSafe(F.col("_host"))).filter(F.col("c") > max_share * F.col("of"))
     return above.groupBy(F.col("_host")).agg(F.array_sort(F.collect_list("h")).alias("_frequent"))
 
@@ -123,8 +121,8 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30
 
     A line is dropped in a host if the host's distinct documents that have it are more than ``max_documents`` and more
     than ``max_share`` of the host's distinct documents. A document is depleted if more than ``max_lost`` of its words
-    are in dropped lines, or more than half of them and fewer than 10 words are left. Documents are told apart by their longest word (then the greatest): copies and near copies
-    share it, so that a copied text isn't taken for boilerplate.
+    are in dropped lines, or more than half of them and fewer than 10 words are left. Documents whose texts are equal but for case and white space
+    count once, so that a copied text isn't taken for boilerplate.
 
     A null text has no words and fails; a null host is a host of its own; repeated rows each get their row; an empty
     table gives none. Other columns of ``docs`` are ignored, whatever their names.
@@ -138,7 +136,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > max_lost * F.col("n_words")) | ((F.col("lost_words") > left) & (left < 10))
     kept = ~F.col("base_failed") & ~depleted
-    return out.withColumn("kept", kept).drop("_lines", "_context", "_frequent").withColumnRenamed("_of", "host"), frequent
+    return out.withColumn("kept", kept).drop("_lines", "_copy", "_frequent").withColumnRenamed("_of", "host"), frequent
 
 
 #: Up to so many rejected rows are broadcast; beyond, they are joined by shuffle.

@@ -68,3 +68,14 @@ def test_empty_table_clashing_names_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text, None, "h", 1, 1, "n")] * 2 + [(None, text, "s", None, None, None, None)], schema)
     left = quality_rules.apply_quality_rules(docs)
     assert left.columns == docs.columns and left.count() == 3
+
+
+def test_every_different_text_counts_as_a_document(spark):
+    """Also where the line holds the longest word of its pages, or all longest words come from few."""
+    url, common = "Subscribe at https://www.example.com/newsletter/subscribe", "incomprehensibilities"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, f"{url}\n{own(i)}", "a") for i in range(40)] + [(40, url, "a")]
+    rows += [(100 + i, f"Read it again\n{common} {own(i)}", "b") for i in range(40)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()}
+    assert [out[i].lost_words for i in range(41)] == [3] * 41 and not out[40].kept
+    assert [out[100 + i].lost_words for i in range(40)] == [3] * 40
