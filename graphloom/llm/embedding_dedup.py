@@ -3,9 +3,10 @@
 Equal vectors are one from the start. The others are dealt into shards; each shard builds its graph, layer by layer,
 in growing batches whose searches run in step on arrays. Every vector then searches every shard for all vectors at the
 threshold or nearer. A search keeps a beam of the nearest found; where the whole beam is near enough, it is widened
-for that vector until it isn't, so that no number of partners is too large. How wide beams start is set by an audit: a
-sample of each shard's vectors is compared with the whole shard by brute force, and the beam doubles until the audit's
-recall passes. Whatever a search finds is verified in double precision. Each task reports counts by vector and a
+for that vector until it isn't, so that no number of partners is too large. How wide beams start is set by an audit:
+vectors of the shard and vectors of other shards that have partners in it are sought by brute force, and the beam
+doubles until it finds enough of their partners, on average over vectors and never counting a vector itself; where too
+few are met, vectors planted beside the shard's own fill up the audit. Whatever a search finds is verified in double precision. Each task reports counts by vector and a
 spanning forest of the links it found, not the pairs; components are the union of all forests.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ LEAST_SHARDS = 4
 LINKS = 12
 BUILD_BEAM = 48
 FIRST_BEAM = 16
-AUDIT = 512
+#: Vectors with partners that an audit wants, of the shard and of others each; vectors that it looks at for them at most.
+AUDIT, AUDIT_LOOKS = 256, 4096
 RECALL = 0.99
 _CELLS = 1 << 24
 
@@ -229,20 +232,78 @@ class Graph:
             width *= 4
         return np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64), np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
 
-    def audited_beam(self, least: float) -> tuple[int, float]:
-        """The beam, doubled from the first until the recall of an audit passes; and that recall."""
+    def _partnered(self, q: np.ndarray, own: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The first AUDIT of the vectors that have partners here, by place, and how many each has. own: the rows of
+        ``x`` that the vectors are themselves."""
+        some: list[np.ndarray] = []
+        partners: list[np.ndarray] = []
+        have = 0
+        for a in range(0, len(q), 64):
+            near = self.x @ q[a : a + 64].T >= least + 1e-5
+            if own is not None:
+                near[own[a : a + 64], np.arange(near.shape[1])] = False
+            n = near.sum(axis=0)
+            some.append(a + np.flatnonzero(n))
+            partners.append(n[n > 0])
+            have += len(some[-1])
+            if have >= AUDIT:
+                break
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *some])[:AUDIT], np.concatenate([empty, *partners])[:AUDIT]
+
+    def _planted(self, rows: np.ndarray, least: float) -> np.ndarray:
+        """Unit vectors beside rows of ``x``, at cosines from the threshold to 1."""
+        draw = np.random.default_rng(len(self.x))
+        x = self.x[rows]
+        away = draw.normal(size=x.shape)
+        away -= np.einsum("nd,nd->n", away, x)[:, None] * x
+        away /= np.maximum(np.sqrt(np.einsum("nd,nd->n", away, away)), 1e-9)[:, None]
+        c = draw.uniform(min(1.0, least + 1e-4), 1.0, len(rows))[:, None]
+        return _unit(c * x + np.sqrt(1 - c * c) * away).astype(np.float32)
+
+    def audited_beam(self, least: float, guests: np.ndarray | None = None) -> tuple[int, float]:
+        """The beam, doubled from the first until the recall of each audit passes; and the least recall of them.
+
+        guests: unit vectors of other shards. The recall of an audit is the mean, over its vectors, of the share of
+        their partners that is found; a vector isn't its own partner.
+        """
         n = len(self.x)
-        sample = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(np.int64)) if n else np.zeros(0, np.int64)
-        truth = [np.flatnonzero(self.x @ self.x[i] >= least + 1e-5) for i in sample]
-        want = {(k, int(self.back[j])) for k, found in enumerate(truth) for j in found}
+        if not n:
+            return FIRST_BEAM, 1.0
+        rows = np.random.default_rng(n).permutation(n)[:AUDIT_LOOKS]
+        audits = [(self.x[rows], rows)]
+        if guests is not None and len(guests):
+            audits.append((np.ascontiguousarray(guests[:AUDIT_LOOKS], np.float32), None))
+        known = []
+        for q, own in audits:
+            some, partners = self._partnered(q, own, least)
+            known.append((q[some], None if own is None else own[some], partners))
+        if sum(len(x[2]) for x in known) < AUDIT:
+            q = self._planted(rows[:AUDIT], least)
+            some, partners = self._partnered(q, None, least)
+            known.append((q[some], None, partners))
         width = FIRST_BEAM
         while True:
-            got = set(zip(*(a.tolist() for a in self.within(self.x[sample], least, width)), strict=True))
-            recall = len(want & got) / len(want) if want else 1.0
+            recall = min(self._recall(*x, least, width) for x in known)
             if recall >= RECALL or width >= n:
                 return width, recall
             width *= 2
 
+    def _recall(self, q: np.ndarray, own: np.ndarray | None, partners: np.ndarray, least: float, width: int) -> float:
+        found = np.zeros(len(q), np.int64)
+        place = np.empty(len(self.x), np.int64)
+        place[self.back] = np.arange(len(self.x))
+        for a in range(0, len(q), 16):
+            i, node = self.within(q[a : a + 16], least, width)
+            i, node = i + a, place[node]
+            for b in range(0, len(i), 1 << 16):
+                k, j = i[b : b + (1 << 16)], node[b : b + (1 << 16)]
+                real = np.einsum("nd,nd->n", q[k], self.x[j]) >= least + 1e-5
+                if own is not None:
+                    real &= own[k] != j
+                found += np.bincount(k[real], minlength=len(q))
+        return float(np.minimum(found / partners, 1.0).mean()) if len(q) else 1.0
+
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
@@ -254,11 +315,16 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 
 def _build(table: pa.Table, least: float) -> pa.Table:
+    """A shard's graph and beam. Rows of 0 copies are vectors of other shards, for the audit alone."""
     table = table.sort_by("node")
+    guests = table.filter(pc.equal(table.column("copies"), 0))
+    table = table.filter(pc.greater(table.column("copies"), 0))
+    if not len(table):
+        return pa.table({c: pa.array([], kind) for c, kind in (("shard", pa.int64()), ("beam", pa.int64()), ("recall", pa.float64()), ("size", pa.int64()), ("index", pa.binary()))})
     node = table.column("node").to_numpy()
     v = _matrix(table.column("v"), len(node))
     graph = Graph(_unit(v), node)
-    beam, recall = graph.audited_beam(least)
+    beam, recall = graph.audited_beam(least, _unit(_matrix(guests.column("v"), len(guests))) if len(guests) else None)
     out = io.BytesIO()
     np.savez(out, node=node, v=v, copies=table.column("copies").to_numpy(), back=graph.back, **{f"layer{h}": x for h, x in enumerate(graph.layers)})
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "beam": pa.array([beam], pa.int64()), "recall": [recall], "size": pa.array([len(node)], pa.int64()), "index": pa.array([out.getvalue()], pa.large_binary()).cast(pa.binary())})
@@ -334,7 +400,10 @@ def embedding_groups(table: DataFrame, least: float = 0.9, column: str = "embedd
     dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("deal"), F.size("v").alias("length"), "node", "copies", "v")
     # vectors of one length only meet: a shard is a part of a length
     dealt = dealt.withColumn("shard", F.col("length") * F.lit(1 << 32).cast("long") + F.col("deal"))
-    index = dealt.select("shard", "node", "copies", "v").groupBy("shard").applyInArrow(lambda t: _build(t, least), "shard long, beam long, recall double, size long, index binary")
+    # some vectors visit the other shards, to audit them
+    visits = dealt.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, n // AUDIT_LOOKS))) == 0).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("to <> deal")
+    guests = visits.select((F.col("shard") - F.col("deal") + F.col("to")).alias("shard"), "node", F.lit(0).cast("long").alias("copies"), "v")
+    index = dealt.select("shard", "node", "copies", "v").unionByName(guests).groupBy("shard").applyInArrow(lambda t: _build(t, least), "shard long, beam long, recall double, size long, index binary")
     index = materialize(index, "graphs")
     keys = index.select(F.col("shard").alias("block"), F.shiftright("shard", 32).alias("length"))
     every = index.withColumn("length", F.shiftright("shard", 32)).join(F.broadcast(keys), "length")  # a row for each shard and block

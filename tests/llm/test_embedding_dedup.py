@@ -69,3 +69,45 @@ def test_recall_of_the_graph_against_brute_force(noise):
     got = set(zip(*(a.tolist() for a in graph.within(x, 0.9, beam)), strict=True))
     want = set(map(tuple, np.argwhere(x @ x.T >= 0.9).tolist()))
     assert len(got & want) >= 0.97 * len(want)
+
+
+class Blind(E.Graph):
+    """Finds nothing but the vector itself, or the members of one large group, unless the beam is wide."""
+
+    def within(self, q, least, width):
+        cos = q @ self.x.T
+        found = cos >= least
+        if width < 64:
+            found &= (cos >= 0.99999) | (self.back < self.group)
+        a, b = np.nonzero(found)
+        return a, self.back[b]
+
+
+@pytest.mark.parametrize("group", [0, 600])
+def test_audit_counts_partners_and_not_the_vector_itself(group):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(2000, 32))
+    x[:group] = x[0] + 0.02 * draw.normal(size=(group, 32))
+    x[1000:1010] = x[1990:] + 0.05 * draw.normal(size=(10, 32))
+    if group:
+        x[1100:1140] = x[1200:1240] + 0.05 * draw.normal(size=(40, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = Blind(x, np.arange(len(x)))
+    graph.group = group
+    beam, recall = graph.audited_beam(0.9)
+    assert beam >= 64 and recall >= E.RECALL
+
+
+def test_audit_meets_vectors_of_other_shards():
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = E.Graph(x, np.arange(len(x)))
+    seen = []
+    within = graph.within
+    graph.within = lambda q, least, width: seen.append(q) or within(q, least, width)
+    guests = x[:20] + 0.01 * draw.normal(size=(20, 32))
+    guests = (guests / np.linalg.norm(guests, axis=1)[:, None]).astype(np.float32)
+    assert graph.audited_beam(0.9, guests)[1] >= E.RECALL
+    met = np.concatenate(seen)
+    assert all((met == g).all(axis=1).any() for g in guests)
