@@ -2,11 +2,13 @@
 
 A page is parsed into a tree of elements (end tags that HTML implies are supplied; scripts, styles and comments are
 never text). Furniture is taken out first: elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or reader comments. Every node then has its characters, tags, link characters and link tags, and
+notice, advert, form or reader comments. Inside an article or main element names only count where they are whole: one
+word, or words that all name furniture or a piece of a page, and no heading or paragraph goes by its id. Every node then has its characters, tags, link characters and link tags, and
 from them a link-adjusted density of characters per tag; its density sum adds up those of its children. The node of
 the greatest sum is the heart of the article. The least density on its path up to the body is the threshold: outside
 that path, subtrees at least as dense are content too, each by its own node of greatest sum. An ``article`` element
-round the heart, or the one that has most of the heart's text, takes the place of all of it.
+round the heart is taken whole in the heart's place; so are the articles inside it that hold most of its text, with
+whatever else of it is dense enough.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from graphloom.llm.shared import map_arrow
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "xmp", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -40,7 +42,7 @@ _ENDS = {
 #: An implied end tag is looked for no further up than these.
 _SCOPE = frozenset("html body table ul ol dl td th article section div main aside nav header footer form button blockquote figure select".split())
 
-_FURNITURE_TAGS = frozenset("nav footer aside form script style noscript iframe template svg math object embed button select textarea dialog head title menu canvas audio video".split())
+_FURNITURE_TAGS = frozenset("nav footer aside form script style noscript iframe template svg object embed button select textarea dialog head title menu canvas audio video annotation annotation-xml".split())
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Words of class and id that name furniture.
 _FURNITURE_WORDS = frozenset(
@@ -49,7 +51,11 @@ _FURNITURE_WORDS = frozenset(
     "recommended recommendations share sharing social nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager comment comments commentlist "
     "disqus replies respond footer header masthead skip topbar toolbar disclaimer".split()
 )
+#: Words that say what piece of a page a name is for, beside the word that says which.
+_PIECES = frozenset("area article articles bar block body box btn button buttons container content form group header inline inner item items label link links list main module outer panel post posts section site slot stories text title top unit wrap wrapper zone".split())
 _NAME = re.compile(r"[a-z0-9]+")
+#: Tags of running text.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -155,9 +161,11 @@ def _furniture(tree: _Tree, by_name: bool) -> list[bool]:
         wraps[tree.parent[i]] |= wraps[i]
     gone = [False] * n
     inside = [False] * n  # an article
+    within = [False] * n  # an article or main
     for i in range(1, n):
         tag, up = tree.tag[i], tree.parent[i]
         inside[i] = inside[up] or tag == "article"
+        within[i] = within[up] or tag in ("article", "main")
         if gone[up]:
             gone[i] = True
             continue
@@ -170,10 +178,15 @@ def _furniture(tree: _Tree, by_name: bool) -> list[bool]:
         if gone[i] or not by_name or not (own := tree.attributes[i]):
             continue
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(own)}
-        words = set(_NAME.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-        named = words & _FURNITURE_WORDS
-        if inside[i] and tag != "article":
-            named -= {"header"}
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        if within[i] and tag != "article":
+            # ids are made from headings there
+            if tag in _PLAIN:
+                names = found.get("class", "").split()
+            words = [set(_NAME.findall(_CAMEL.sub(" ", name).lower())) for name in names]
+            named = {w for name in words if {w for w in name if not w.isdigit()} <= _FURNITURE_WORDS | _PIECES for w in name & _FURNITURE_WORDS} - ({"header"} if inside[i] else set())
+        else:
+            named = set(_NAME.findall(_CAMEL.sub(" ", " ".join(names)).lower())) & _FURNITURE_WORDS
         hidden = re.search(r"(^|\s)hidden(\s|$)", own) or found.get("aria-hidden") == "true" and not holds[i] or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag == "article":
             gone[i] = bool(named & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended"})
@@ -226,21 +239,34 @@ def _selected(tree: _Tree, gone: list[bool]) -> list[int]:
     above = [heart]
     while above[-1] > 0 and tree.tag[above[-1]] != "body":
         above.append(tree.parent[above[-1]])
-    for i in above:
-        if tree.tag[i] == "article":
-            return [i]
     end = list(range(n))  # the last element below each: those below i are i + 1 to end[i]
     for i in range(n - 1, 0, -1):
         end[tree.parent[i]] = max(end[tree.parent[i]], end[i])
-    within = [i for i in range(heart, end[heart] + 1) if tree.tag[i] == "article" and not gone[i]]
-    if within and 2 * chars[best := max(within, key=lambda i: chars[i])] >= chars[heart]:
-        return [best]
-    threshold = min(density[i] for i in above)
-    chosen = [heart]
-    path = set(above)
+    core = next((i for i in above if tree.tag[i] == "article"), heart)
+    if core == heart and tree.tag[heart] != "article":
+        within = [i for i in range(heart, end[heart] + 1) if tree.tag[i] == "article" and not gone[i]]
+        if within and 2 * chars[best := max(within, key=lambda i: chars[i])] >= chars[heart]:
+            core = best
+    path = [core]
+    while path[-1] > 0 and tree.tag[path[-1]] != "body":
+        path.append(tree.parent[path[-1]])
+    threshold = min(density[i] for i in path)
+    chosen = [core]
+    path = set(path)
+    last = 0  # the end of what is chosen before or of the core
     for i in range(1, n):
-        if tree.parent[i] in path and i not in path and not gone[i] and tree.parent[i] != heart and density[i] >= threshold > 0:
-            chosen.append(max((j for j in range(i, end[i] + 1) if chars[j]), key=lambda j: (total[j], -j)))
+        if i == core:
+            last = max(last, end[i])
+        if i <= last or i in path or gone[i] or not density[i] >= threshold > 0:
+            continue
+        beside = tree.parent[i] in path
+        if tree.tag[core] != "article":
+            if beside:
+                chosen.append(max((j for j in range(i, end[i] + 1) if chars[j]), key=lambda j: (total[j], -j)))
+                last = end[i]
+        elif tree.tag[i] == "article" or beside and heart < i <= end[heart]:
+            chosen.append(i)
+            last = end[i]
     return sorted(chosen)
 
 

@@ -53,3 +53,22 @@ def test_columns_and_empty_table(spark):
     assert out.columns == ["page_id", "_doc", "text", "n_chars"]
     assert sorted((r.page_id, r._doc, r.text, r.n_chars) for r in out.select("page_id", "_doc", "text", "n_chars").fillna(0).collect()) == [(1, 0, "é", 1), (1, 5, "", 0)]
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_names_made_from_headings_stay_in_an_article():
+    for piece, text in (
+        ("<section id='related-work'><h2 id='social-history'>Past</h2><p>Others did this before us.</p></section>", "Past\nOthers did this before us."),
+        ("<div id='comments-on-the-draft'><p class='ad-hoc'>We thank all the readers.</p></div>", "We thank all the readers."),
+        ("<h2 id=comments>Comments</h2><p>It is <math><mi>x</mi></math> here.</p>", "Comments\nIt is x here."),
+        ("<div class='share-buttons'>Share it</div><div class='related-posts'>More</div><div id=comment-12>Me too</div>", ""),
+    ):
+        for tag in ("article", "main"):
+            assert main_text(f"<body><{tag}>{BODY}{piece}</{tag}>") == "\n".join(x for x in (WANT, text) if x), (tag, piece)
+
+
+def test_articles_beside_the_heart_stay_if_dense():
+    more = BODY.replace("story", "sequel")
+    both = f"{WANT}\n{WANT.replace('story', 'sequel')}"
+    assert main_text(f"<body><article>{BODY}</article><article>{more}</article>") == both
+    assert main_text(f"<body><div><article>{BODY}</article><section>{more}</section></div>") == both
+    assert main_text(f"<body><article>{BODY}</article><article><a href=1>One</a> <a href=2>Two</a></article>") == WANT
