@@ -16,42 +16,39 @@ from graphloom.sources import random_graphs, shaped_graphs
 def graphs(spark: SparkSession, graph_type: str, seed: int = 0, first: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(instances(inst, n), edges, ends or None) of one batch of a family, under the options of its group.
 
-    Graphs of more than max_edges edges are tried again; instances without a graph after max_attempts are left out.
+    Graphs of more than max_edges edges are drawn again, their numbers of nodes too; instances without a graph after
+    max_attempts are left out.
     Stars and balanced graphs have no attempts: their size follows from their parameters.
     """
     batch = group_of(BatchArgs, options)
     low, high = options.get("min_num_nodes", 15), options.get("max_num_nodes", 25)
     c = {k: options.get(k, v) for k, v in (("c_min", 75), ("c_max", 125))}
-    nodes = random_graphs.instances(spark, batch.batch_size, low, high, seed, first)
-    ends = None
+    draw_nodes = lambda s: random_graphs.instances(spark, batch.batch_size, low, high, s, first)
+    nodes = draw_nodes(seed)
+    make = edges = ends = None
     if graph_type == "erdos_renyi":
-        make = lambda s: random_graphs.connect_random(nodes, random_graphs.erdos_renyi(nodes, options.get("p", -1.0), s), seed=s, **c)
-        edges = make(seed)
+        make = lambda nodes, s: (random_graphs.connect_random(nodes, random_graphs.erdos_renyi(nodes, options.get("p", -1.0), s), seed=s, **c), None)
     elif graph_type in ("euclidean", "euclidian"):
 
-        def make(s: int) -> DataFrame:
+        def make(nodes: DataFrame, s: int) -> tuple[DataFrame, None]:
             points = random_graphs.uniform_points(nodes, options.get("dim", 2), s)
             radius = options.get("radius", -1.0)
             near = random_graphs.euclidean(points.join(nodes, "inst"), random_graphs.default_radius() if radius <= 0 else radius)
-            return random_graphs.connect_nearest(nodes, near, points, seed=s, **c)
+            return random_graphs.connect_nearest(nodes, near, points, seed=s, **c), None
 
-        edges = make(seed)
     elif graph_type == "random_tree":
-        edges, ends = shaped_graphs.random_trees(nodes, options.get("max_degree", 3), options.get("max_depth", 7), options.get("bernoulli_p", 0.5), options.get("probs"), seed)
-        make = None
+        make = lambda nodes, s: shaped_graphs.random_trees(nodes, options.get("max_degree", 3), options.get("max_depth", 7), options.get("bernoulli_p", 0.5), options.get("probs"), s)
     elif graph_type == "path_star":
         edges, ends = shaped_graphs.path_stars(spark, batch.batch_size, (options.get("min_num_arms", 2), options.get("max_num_arms", 5)), (options.get("min_arm_length", 5), options.get("max_arm_length", 10)), seed, first)
         nodes = ends.select("inst", (F.col("arms") * (F.col("length") - 1) + 1).cast("int").alias("n"))
-        make = None
     elif graph_type == "balanced":
         ahead = nodes.withColumn("lookahead", between(options.get("min_lookahead", 3), options.get("max_lookahead", 5), seed, F.lit("ahead"), "inst"))
         edges, ends = shaped_graphs.balanced(ahead, options.get("min_noise_reserve", 0), options.get("max_num_parents", 4), options.get("max_noise", -1), seed, options.get("end_on_path", True))
-        make = None
     else:
         raise ValueError(f"no such graph type: {graph_type}")
     if make:
         # most graphs fit at once: attempts are made one by one, for those that are left
-        edges = _attempted(edges, nodes, make, batch, seed)
+        nodes, edges, ends = _attempted(nodes, draw_nodes, make, batch, seed)
     else:
         edges = _small_enough(edges, batch.max_edges)
     return nodes, random_graphs.shuffled_edges(edges, seed) if batch.shuffle_edges else edges, ends
@@ -61,14 +58,27 @@ def _small_enough(edges: DataFrame, most: int) -> DataFrame:
     return edges.join(edges.groupBy("inst").count().filter(F.col("count") <= most).select("inst"), "inst", "left_semi")
 
 
-def _attempted(edges: DataFrame, nodes: DataFrame, make, batch: BatchArgs, seed: int) -> DataFrame:
+def _attempted(nodes: DataFrame, draw_nodes, make, batch: BatchArgs, seed: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    edges, ends = make(nodes, seed)
     kept = _small_enough(edges, batch.max_edges)
-    for attempt in range(1, min(batch.max_attempts, 8)):
-        left = nodes.join(kept.select("inst").distinct(), "inst", "left_anti").filter("n > 1")
+    for attempt in range(1, batch.max_attempts):
+        left = nodes.join(kept.select("inst").distinct(), "inst", "left_anti").filter("n > 1").select("inst")
         if left.isEmpty():
             break
-        kept = kept.unionByName(_small_enough(make(seed + 7919 * attempt).join(left.select("inst"), "inst", "left_semi"), batch.max_edges))
-    return kept
+        # what is kept is cut off from its plan, so that plans stay small however many attempts there are
+        left = left.localCheckpoint()
+        again = draw_nodes(seed + 7919 * attempt).join(left, "inst", "left_semi").localCheckpoint()
+        more, more_ends = make(again, seed + 7919 * attempt)
+        more = _small_enough(more, batch.max_edges).localCheckpoint()
+        fit = more.select("inst").distinct().unionByName(again.filter("n = 1").select("inst"))
+        if fit.isEmpty():
+            kept = kept.localCheckpoint() if attempt == 1 else kept
+            continue
+        kept = kept.unionByName(more).localCheckpoint()
+        nodes = nodes.join(fit, "inst", "left_anti").unionByName(again.join(fit, "inst", "left_semi")).localCheckpoint()
+        if ends is not None:
+            ends = ends.join(fit, "inst", "left_anti").unionByName(more_ends.join(fit, "inst", "left_semi")).localCheckpoint()
+    return nodes, kept, ends
 
 
 def is_directed(graph_type: str) -> bool:

@@ -147,3 +147,14 @@ def test_first_that_fits(spark):
     edges = random_graphs.first_that_fits(lambda a: random_graphs.erdos_renyi(nodes, 0.2, a), 12, 36)
     sizes = [r["count"] for r in edges.groupBy("inst").count().collect()]
     assert max(sizes) <= 36 and len(sizes) >= 28
+
+
+def test_graphs_that_are_too_large_are_drawn_again_up_to_max_attempts(spark):
+    """Few draws fit: after 7 tries most of the batch would be missing."""
+    for family, options in (("erdos_renyi", {"min_num_nodes": 4, "max_num_nodes": 24, "max_edges": 4}), ("random_tree", {"min_num_nodes": 6, "max_num_nodes": 12, "max_edges": 6, "max_depth": -1})):
+        nodes, edges, ends = registry.graphs(spark, family, seed=3, batch_size=12, max_attempts=200, **options)
+        size = {r.inst: r.n for r in nodes.collect()}
+        counts = {r.inst: r["count"] for r in edges.groupBy("inst").count().collect()}
+        assert len(counts) == 12 and max(counts.values()) <= options["max_edges"]
+        assert all(max(r.u, r.v) < size[r.inst] for r in edges.collect())
+        assert ends is None or {r.inst for r in ends.collect()} == set(counts)
