@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.shipping import own_folder, ship
+from graphloom.functions.shipping import ship
+from graphloom.functions.written import cut
 from graphloom.sources.tables import arcs, nodes
 
 _SCHEMA = "inst long, src int, dst int, d int"
@@ -129,14 +130,6 @@ def _frontier(edges: DataFrame, directed: bool) -> DataFrame:
     return seen
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that plans don't grow with the number of levels."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder())
-    return df.checkpoint()
-
-
 def densified(dist: DataFrame, every_node: DataFrame, missing: int = -1) -> DataFrame:
     """A row for every pair of nodes(inst, node), ``missing`` where no path is."""
     pairs = every_node.select("inst", F.col("node").alias("src")).join(every_node.select("inst", F.col("node").alias("dst")), "inst")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.kernels import map_instances
 from graphloom.functions.vocab import Vocab
 
 
@@ -49,116 +48,128 @@ BFS_CODES = {
 }
 
 
-class _Fault(Exception):
-    pass
-
-
-class _Reader:
-    """A written search as levels of (node, neighbours, repeated neighbours)."""
-
-    def __init__(self, tokens: list[int], marks: list[int], plain: int, ids: dict[str, int], queue: bool, twice: bool):
-        self.tokens, self.marks, self.plain, self.ids, self.queue, self.twice = tokens, marks, plain, ids, queue, twice
-
-    def is_mark(self, token: int, depth: int) -> bool:
-        return token == self.plain or (depth < len(self.marks) and token == self.marks[depth])
-
-    def levels(self):
-        at, depth = 0, 0
-        while at < len(self.tokens):
-            if not self.is_mark(self.tokens[at], depth):
-                raise _Fault(-1)
-            end = next((i for i in range(at + 1, len(self.tokens)) if self.is_mark(self.tokens[i], depth + 1)), len(self.tokens))
-            yield self.entries(at + 1, end)
-            at, depth = end, depth + 1
-
-    def entries(self, at: int, end: int):
-        out = []
-        while at < end:
-            if self.queue:
-                _, at = self.bracket(at, end, "{", "}", -2, -22)
-            if at >= end:
-                raise _Fault(-3)
-            node = self.tokens[at]
-            nbrs, at = self.bracket(at + 1, end, "[", "]", -4, -44)
-            again = None
-            if self.twice:
-                again, at = self.bracket(at, end, "{", "}", -444, -4444)
-            out.append((node, nbrs, again))
-        return out
-
-    def bracket(self, at: int, end: int, opens: str, closes: str, missing: int, open_: int) -> tuple[list[int], int]:
-        if at >= end or self.tokens[at] != self.ids[opens]:
-            raise _Fault(missing)
-        close = next((i for i in range(at + 1, end) if self.tokens[i] == self.ids[closes]), None)
-        if close is None:
-            raise _Fault(open_)
-        return self.tokens[at + 1 : close], close + 1
-
-
-def bfs_verdict(tokens: list[int], start: int, end: int, near: dict[int, set[int]], shortest: int | None, size: int, reader) -> int:
-    """The code of one written search; near has each id's neighbours, shortest is the distance from start to end."""
-    levels: list[dict[int, list[int]]] = []
-    faulty = False
-    try:
-        for entries in reader(tokens).levels():
-            found: dict[int, list[int]] = {}
-            for node, nbrs, again in entries:
-                right = True
-                for x in nbrs:
-                    if node >= size or x >= size:
-                        raise _Fault(-5)
-                    if x not in near.get(node, ()):
-                        right = False
-                        break
-                    found[node] = nbrs
-                if not right:
-                    if again is not None:
-                        if any(node >= size or x >= size for x in again):
-                            raise _Fault(-6)
-                        if all(x in near.get(node, ()) for x in again):
-                            found[node] = again
-                            continue
-                    faulty = True
-            levels.append(found)
-    except _Fault as fault:
-        return fault.args[0]
-    at = end
-    for found in reversed(levels):
-        parent = next((n for n in sorted(found) if at in found[n]), None)
-        if parent is None:
-            return -7
-        at = parent
-    if at != start:
-        return -8
-    if start >= size or end >= size:
-        return -9
-    if shortest != len(levels):
-        return -10
-    return 0 if faulty else 1
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, though named often."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def verify_bfs(predictions: DataFrame, dist: DataFrame, vocab: Vocab, vocab_size: int, include_queue: bool = False, duplicate_adjacency: bool = False) -> DataFrame:
-    """(inst, code) of predictions(inst, start, end, tokens): tokens are a written search without its ``#``; see BFS_CODES.
+def _kinds(tokens: Column, ids: dict[str, int]) -> Column:
+    """A letter for each token: a bracket, or x for anything else."""
+    letter = lambda t: F.coalesce(*(F.when(t == ids[s], s) for s in "[]{}"), F.lit("x"))
+    return F.array_join(F.transform(tokens, letter), "")
+
+
+def _levels(tokens: Column, marks: list[int], plain: int) -> Column:
+    """The tokens of each level without its mark: level k ends where the mark of level k + 1, or the plain one, stands."""
+    of = F.array(*(F.lit(m) for m in marks)) if marks else F.expr("cast(array() as array<int>)")
+    begins = F.aggregate(
+        F.sequence(F.lit(0), F.size(tokens) - 1),
+        F.expr("cast(array() as array<int>)"),
+        lambda s, i: F.when((F.get(tokens, i) == plain) | F.coalesce(F.get(tokens, i) == F.get(of, F.size(s)), F.lit(False)), F.concat(s, F.array(i))).otherwise(s),
+    )
+    cut = lambda at: F.transform(at, lambda b, k: F.slice(tokens, b + 2, F.coalesce(F.get(at, k + 1), F.size(tokens)) - b - 1))
+    return F.when(F.size(tokens) == 0, F.expr("cast(array() as array<array<int>>)")).otherwise(_bind(begins, cut))
+
+
+def _entries(level: Column, ids: dict[str, int], queue: bool, twice: bool) -> Column:
+    """A level as (node, nbrs, again) for each whole entry, and the code of what follows the last one, if anything does.
 
-    dist: (inst, src, dst, d) by id. Any order of lists and of nodes within a level is right.
+    The grammar is a regular expression over one letter a token: ``\\G`` chains entries from the first on.
     """
-    marks, plain = vocab.depth_ids(), vocab.ids.get(vocab.depth_symbol, -1)
-    ids = {s: vocab[s] for s in "[]{}"}
+    head, tail = r"(\{[^}]*\})" if queue else "()", r"(\{[^}]*\})" if twice else "()"
+    entry = rf"{head}(.)\[([^\]]*)\]{tail}"
+
+    def parts(kinds: Column) -> Column:
+        """The entries that stand whole, one after another from the first on; then the rest of the level."""
+
+        def read(state: Column, text: Column) -> Column:
+            at = lambda group: F.length(F.regexp_extract(text, entry, group))
+            own = state["end"] + at(1)
+            one = F.struct(
+                F.get(level, own).alias("node"),
+                F.slice(level, own + 3, at(3)).alias("nbrs"),
+                F.slice(level, own + at(3) + 5, F.greatest(at(4) - 2, F.lit(0))).alias("again"),
+            )
+            return F.struct((state["end"] + F.length(text)).alias("end"), F.concat(state["entries"], F.array(one)).alias("entries"))
+
+        start = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<node:int,nbrs:array<int>,again:array<int>>>)").alias("entries"))
+        whole = F.aggregate(F.regexp_extract_all(kinds, F.lit(rf"\G{entry}"), F.lit(0)), start, read)
+        return _bind(whole, lambda w: F.struct(w["entries"].alias("entries"), _bind(F.substring(kinds, w["end"] + 1, F.length(kinds)), broken).alias("rest")))
+
+    def broken(rest: Column) -> Column:
+        """Which piece of an entry is missing: the first of the grammar's prefixes that the rest doesn't have."""
+        missing = F.when(rest == "", F.lit(None).cast("int"))
+        prefix = "^"
+        wanted = [(r"\{", -2), (r"[^}]*\}", -22), (".", -3)] if queue else []
+        wanted += [("" if queue else ".", -3), (r"\[", -4), (r"[^\]]*\]", -44)] + ([(r"\{", -444), (r"[^}]*\}", -4444)] if twice else [])
+        for piece, code in wanted:
+            prefix += piece
+            missing = missing.when(~rest.rlike(prefix), code)
+        return missing
+
+    return _bind(_kinds(level, ids), parts)
 
-    def reader(tokens: list[int]) -> _Reader:
-        return _Reader(tokens, marks, plain, ids, include_queue, duplicate_adjacency)
 
-    def kernel(row: dict) -> list[dict]:
-        near: dict[int, set[int]] = {}
-        for a in row["arcs"] or []:
-            near.setdefault(a["src"], set()).add(a["dst"])
-        code = bfs_verdict(row["tokens"] or [], row["start"], row["end"], near, row["d"], vocab_size, reader)
-        return [{"inst": row["inst"], "code": code}]
+def verify_bfs(predictions: DataFrame, dist: DataFrame, vocab: Vocab, vocab_size: int, include_queue: bool = False, duplicate_adjacency: bool = False) -> DataFrame:
+    """(inst, code) of predictions(inst, start, end, tokens): tokens are a written search without its ``#``; see BFS_CODES.
 
-    step = dist.filter("d = 1").groupBy("inst").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
-    best = dist.select("inst", F.col("src").alias("start"), F.col("dst").alias("end"), "d")
-    rows = predictions.select("inst", "start", "end", "tokens").join(step, "inst", "left").join(best, ["inst", "start", "end"], "left")
-    return map_instances(rows, kernel, "inst long, code int")
+    dist: (inst, src, dst, d) by id. Any order of lists and of nodes within a level is right. What is said first decides
+    among faults of the text. A list is judged by its first token that is no neighbour: outside the vocabulary or just
+    wrong; a wrong list may be made good by its repeat. Then the ends are traced back, level by level, over all hops that
+    are both listed and edges.
+    """
+    ids = {s: vocab[s] for s in "[]{}"}
+    arc = dist.filter("d = 1").groupBy("inst", "src").agg(F.collect_list("dst").alias("to"))
+    near = arc.groupBy("inst").agg(F.map_from_entries(F.collect_list(F.struct("src", "to"))).alias("near"))
+    best = dist.select("inst", F.col("src").alias("start"), F.col("dst").alias("end"), F.col("d").alias("best"))
+    none = F.expr("cast(array() as array<int>)")
+    rows = predictions.select("inst", "start", "end", F.coalesce(F.col("tokens").cast("array<int>"), none).alias("tokens")).join(near, "inst", "left").join(best, ["inst", "start", "end"], "left")
+    rows = rows.withColumn("levels", F.transform(_levels(F.col("tokens"), vocab.depth_ids(), vocab.ids.get(vocab.depth_symbol, -1)), lambda x: _entries(x, ids, include_queue, duplicate_adjacency)))
+
+    def judged(e: Column) -> Column:
+        """An entry with the code of an id outside the vocabulary, whether its list is wrong, and its real hops."""
+        own = F.coalesce(F.try_element_at("near", e["node"]), none)
+        inside = lambda x: (x < vocab_size) & (e["node"] < vocab_size)
+        fault = lambda xs, code: F.get(F.filter(F.transform(xs, lambda x: F.when(~inside(x), code).when(~F.array_contains(own, x), 0)), lambda c: c.isNotNull()), 0)
+
+        def weighed(first: Column) -> Column:
+            second = F.when(first.isNotNull(), fault(e["again"], -6))
+            good = first.isNull() | (second.isNull() & F.lit(duplicate_adjacency))
+            code = F.when(first < 0, first).when(second < 0, second)
+            hops = F.when(good & first.isNotNull(), e["again"]).otherwise(F.array_intersect(e["nbrs"], own))
+            return F.struct(e["node"].alias("node"), code.alias("code"), (~good).alias("wrong"), hops.alias("hops"))
+
+        return _bind(fault(e["nbrs"], -5), weighed)
+
+    rows = rows.withColumn("seen", F.transform("levels", lambda x: F.struct(F.transform(x["entries"], judged).alias("entries"), x["rest"].alias("rest"))))
+    said = F.flatten(F.transform("seen", lambda x: F.concat(F.transform(x["entries"], lambda e: e["code"]), F.array(x["rest"]))))
+    marked = (F.size("tokens") == 0) | (F.size("levels") > 0) & _opens(vocab)
+    # the nodes of each level from which the end is reached, from the last level to the first
+    back = F.aggregate(
+        F.reverse("seen"),
+        F.array("end"),
+        lambda s, x: F.when(F.size(s) == 0, s).otherwise(F.array_distinct(F.transform(F.filter(x["entries"], lambda e: F.arrays_overlap(e["hops"], s)), lambda e: e["node"]))),
+    )
+    rows = rows.withColumns({
+        "fault": F.get(F.filter(said, lambda c: c.isNotNull()), 0),
+        "wrong": F.exists(F.flatten(F.transform("seen", lambda x: x["entries"])), lambda e: e["wrong"]),
+        "roots": back,
+    })
+    code = (
+        F.when(~marked, -1)
+        .when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(F.size("roots") == 0, -7)
+        .when(~F.array_contains("roots", F.col("start")), -8)
+        .when((F.col("start") >= vocab_size) | (F.col("end") >= vocab_size), -9)
+        .when(~F.col("best").eqNullSafe(F.size("levels")), -10)
+    )
+    return rows.select("inst", code.when(F.col("wrong"), 0).otherwise(1).alias("code"))
+
+
+def _opens(vocab: Vocab) -> Column:
+    """Whether the text begins with the mark of the first level."""
+    marks = [*vocab.depth_ids()[:1], vocab.ids.get(vocab.depth_symbol, -1)]
+    return F.get("tokens", 0).isin(marks)
 
 
 def khop_chain(prefix: Column, right: bool = True, first: int = 1) -> Column:

@@ -14,9 +14,14 @@ from graphloom.functions.kernels import map_instances
 
 def instances(spark: SparkSession, batch: int, low: int, high: int, seed: int, first: int = 0) -> DataFrame:
     """(inst, n): numbers of nodes drawn from low to high."""
+    return sized(spark.range(first, first + batch).withColumnRenamed("id", "inst"), low, high, seed)
+
+
+def sized(ids: DataFrame, low: int, high: int, seed: int) -> DataFrame:
+    """``ids(inst)`` with numbers of nodes."""
     if not 0 < low <= high:
         raise ValueError("numbers of nodes must be 0 < min <= max")
-    return spark.range(first, first + batch).select(F.col("id").alias("inst"), between(low, high, seed, F.lit("n"), "id").alias("n"))
+    return ids.select("inst", between(low, high, seed, F.lit("n"), "inst").alias("n"))
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
@@ -172,21 +177,6 @@ def connect_nearest(nodes: DataFrame, edges: DataFrame, points: DataFrame, c_min
     return map_instances(_gathered(nodes, edges).join(spots, "inst", "left"), kernel, _EDGES)
 
 
-def first_that_fits(make, attempts: int, max_edges: int) -> DataFrame:
-    """Of ``attempts`` candidate edge tables, made by ``make(attempt)`` for the same instances, the first of each instance
-    that has no more than max_edges edges; instances without any are left out."""
-    if attempts < 1:
-        raise ValueError("at least one attempt is needed")
-    tried = None
-    for a in range(attempts):
-        one = make(a).withColumn("attempt", F.lit(a))
-        tried = one if tried is None else tried.unionByName(one)
-    size = F.count("*").over(Window.partitionBy("inst", "attempt"))
-    fits = tried.withColumn("size", size).filter(F.col("size") <= max_edges)
-    best = F.min("attempt").over(Window.partitionBy("inst"))
-    return fits.withColumn("best", best).filter("attempt = best").drop("size", "best", "attempt")
-
-
 def shuffled_edges(edges: DataFrame, seed: int) -> DataFrame:
     """edges with edge_idx drawn anew: the order in which a graph is told."""
     number = F.row_number().over(Window.partitionBy("inst").orderBy(draw(seed, F.lit("edge"), "inst", "edge_idx"), "edge_idx")) - 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,75 +11,83 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from graphloom.config import DIRECTED, BatchArgs, group_of
 from graphloom.functions.draws import between
+from graphloom.functions.written import cut
 from graphloom.sources import random_graphs, shaped_graphs
 
 
+#: Attempt a of instance i is drawn as the instance of number a * ATTEMPT + i.
+ATTEMPT = 1 << 40
+
+
 def graphs(spark: SparkSession, graph_type: str, seed: int = 0, first: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(instances(inst, n), edges, ends or None) of one batch of a family, under the options of its group.
 
-    Graphs of more than max_edges edges are drawn again, their numbers of nodes too; instances without a graph after
-    max_attempts are left out.
-    Stars and balanced graphs have no attempts: their size follows from their parameters.
+    Graphs of more than max_edges edges are drawn again, their numbers of nodes too, up to max_attempts times; instances
+    without a graph after that are left out. Stars and balanced graphs have no attempts: their size follows from their
+    parameters.
     """
     batch = group_of(BatchArgs, options)
-    low, high = options.get("min_num_nodes", 15), options.get("max_num_nodes", 25)
-    c = {k: options.get(k, v) for k, v in (("c_min", 75), ("c_max", 125))}
-    draw_nodes = lambda s: random_graphs.instances(spark, batch.batch_size, low, high, s, first)
-    nodes = draw_nodes(seed)
-    make = edges = ends = None
-    if graph_type == "erdos_renyi":
-        make = lambda nodes, s: (random_graphs.connect_random(nodes, random_graphs.erdos_renyi(nodes, options.get("p", -1.0), s), seed=s, **c), None)
-    elif graph_type in ("euclidean", "euclidian"):
-
-        def make(nodes: DataFrame, s: int) -> tuple[DataFrame, None]:
-            points = random_graphs.uniform_points(nodes, options.get("dim", 2), s)
-            radius = options.get("radius", -1.0)
-            near = random_graphs.euclidean(points.join(nodes, "inst"), random_graphs.default_radius() if radius <= 0 else radius)
-            return random_graphs.connect_nearest(nodes, near, points, seed=s, **c), None
-
-    elif graph_type == "random_tree":
-        make = lambda nodes, s: shaped_graphs.random_trees(nodes, options.get("max_degree", 3), options.get("max_depth", 7), options.get("bernoulli_p", 0.5), options.get("probs"), s)
-    elif graph_type == "path_star":
-        edges, ends = shaped_graphs.path_stars(spark, batch.batch_size, (options.get("min_num_arms", 2), options.get("max_num_arms", 5)), (options.get("min_arm_length", 5), options.get("max_arm_length", 10)), seed, first)
-        nodes = ends.select("inst", (F.col("arms") * (F.col("length") - 1) + 1).cast("int").alias("n"))
-    elif graph_type == "balanced":
-        ahead = nodes.withColumn("lookahead", between(options.get("min_lookahead", 3), options.get("max_lookahead", 5), seed, F.lit("ahead"), "inst"))
-        edges, ends = shaped_graphs.balanced(ahead, options.get("min_noise_reserve", 0), options.get("max_num_parents", 4), options.get("max_noise", -1), seed, options.get("end_on_path", True))
-    else:
-        raise ValueError(f"no such graph type: {graph_type}")
-    if make:
-        # most graphs fit at once: attempts are made one by one, for those that are left
-        nodes, edges, ends = _attempted(nodes, draw_nodes, make, batch, seed)
+    ids = spark.range(first, first + batch.batch_size).withColumnRenamed("id", "inst")
+    if graph_type in ("path_star", "balanced"):
+        nodes, edges, ends = family(ids, graph_type, seed, **options)
+        edges = edges.join(_fitting(nodes, edges, batch.max_edges), "inst", "left_semi")
     else:
-        edges = _small_enough(edges, batch.max_edges)
+        nodes, edges, ends = _attempted(ids, lambda some: family(some, graph_type, seed, **options), batch)
     return nodes, random_graphs.shuffled_edges(edges, seed) if batch.shuffle_edges else edges, ends
 
 
-def _small_enough(edges: DataFrame, most: int) -> DataFrame:
-    return edges.join(edges.groupBy("inst").count().filter(F.col("count") <= most).select("inst"), "inst", "left_semi")
+def family(ids: DataFrame, graph_type: str, seed: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(instances(inst, n), edges, ends or None) of the instances in ``ids(inst)``: draws depend on the seed and their
+    numbers alone."""
+    if graph_type == "path_star":
+        arms, length = (options.get("min_num_arms", 2), options.get("max_num_arms", 5)), (options.get("min_arm_length", 5), options.get("max_arm_length", 10))
+        edges, ends = shaped_graphs.stars_of(ids, arms, length, seed)
+        return ends.select("inst", (F.col("arms") * (F.col("length") - 1) + 1).cast("int").alias("n")), edges, ends
+    nodes = random_graphs.sized(ids, options.get("min_num_nodes", 15), options.get("max_num_nodes", 25), seed)
+    ties = {"c_min": options.get("c_min", 75), "c_max": options.get("c_max", 125), "seed": seed}
+    if graph_type == "erdos_renyi":
+        return nodes, random_graphs.connect_random(nodes, random_graphs.erdos_renyi(nodes, options.get("p", -1.0), seed), **ties), None
+    if graph_type in ("euclidean", "euclidian"):
+        points = random_graphs.uniform_points(nodes, options.get("dim", 2), seed)
+        radius = options.get("radius", -1.0)
+        near = random_graphs.euclidean(points.join(nodes, "inst"), random_graphs.default_radius() if radius <= 0 else radius)
+        return nodes, random_graphs.connect_nearest(nodes, near, points, **ties), None
+    if graph_type == "random_tree":
+        return nodes, *shaped_graphs.random_trees(nodes, options.get("max_degree", 3), options.get("max_depth", 7), options.get("bernoulli_p", 0.5), options.get("probs"), seed)
+    if graph_type == "balanced":
+        ahead = nodes.withColumn("lookahead", between(options.get("min_lookahead", 3), options.get("max_lookahead", 5), seed, F.lit("ahead"), "inst"))
+        return nodes, *shaped_graphs.balanced(ahead, options.get("min_noise_reserve", 0), options.get("max_num_parents", 4), options.get("max_noise", -1), seed, options.get("end_on_path", True))
+    raise ValueError(f"no such graph type: {graph_type}")
+
+
+def _fitting(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(inst) of the instances of at most so many edges."""
+    size = edges.groupBy("inst").agg(F.count("*").alias("size"))
+    return nodes.select("inst").join(size, "inst", "left").filter(F.coalesce("size", F.lit(0)) <= most).select("inst")
 
 
-def _attempted(nodes: DataFrame, draw_nodes, make, batch: BatchArgs, seed: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    edges, ends = make(nodes, seed)
-    kept = _small_enough(edges, batch.max_edges)
-    for attempt in range(1, batch.max_attempts):
-        left = nodes.join(kept.select("inst").distinct(), "inst", "left_anti").filter("n > 1").select("inst")
+def _attempted(ids: DataFrame, make, batch: BatchArgs) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The first attempt of each instance whose graph is small enough.
+
+    Attempts are made in blocks of 1, 2, 4, ... for all instances still without a graph, each block in one plan that is
+    written once: so there are as many plans as doublings, and at most twice the attempts that are needed.
+    """
+    found: list[tuple[DataFrame, ...]] = []
+    left, tried = ids, 0
+    while tried < batch.max_attempts:
+        upto = min(max(1, 2 * tried), batch.max_attempts)
+        some = left.select(F.explode(F.transform(F.sequence(F.lit(tried), F.lit(upto - 1)), lambda a: F.col("inst") + a * ATTEMPT)).alias("inst"))
+        nodes, edges, ends = make(some)
+        edges = cut(edges, "attempts")
+        first = _fitting(nodes, edges, batch.max_edges).groupBy((F.col("inst") % ATTEMPT).alias("own")).agg(F.min("inst").alias("inst"))
+        first = cut(first, "fitting")
+        found.append(tuple(t.join(first, "inst").drop("inst").select(F.col("own").alias("inst"), *(c for c in t.columns if c != "inst")) for t in (nodes, edges, ends) if t is not None))
+        tried = upto
+        left = left.join(first.select(F.col("own").alias("inst")), "inst", "left_anti")
         if left.isEmpty():
             break
-        # what is kept is cut off from its plan, so that plans stay small however many attempts there are
-        left = left.localCheckpoint()
-        again = draw_nodes(seed + 7919 * attempt).join(left, "inst", "left_semi").localCheckpoint()
-        more, more_ends = make(again, seed + 7919 * attempt)
-        more = _small_enough(more, batch.max_edges).localCheckpoint()
-        fit = more.select("inst").distinct().unionByName(again.filter("n = 1").select("inst"))
-        if fit.isEmpty():
-            kept = kept.localCheckpoint() if attempt == 1 else kept
-            continue
-        kept = kept.unionByName(more).localCheckpoint()
-        nodes = nodes.join(fit, "inst", "left_anti").unionByName(again.join(fit, "inst", "left_semi")).localCheckpoint()
-        if ends is not None:
-            ends = ends.join(fit, "inst", "left_anti").unionByName(more_ends.join(fit, "inst", "left_semi")).localCheckpoint()
-    return nodes, kept, ends
+    whole = [reduce(DataFrame.unionByName, parts) for parts in zip(*found, strict=True)]
+    return whole[0], whole[1], whole[2] if len(whole) > 2 else None
 
 
 def is_directed(graph_type: str) -> bool:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +83,16 @@ def random_trees(nodes: DataFrame, degree: int = 3, max_depth: int = 7, bernoull
 
 
 def path_stars(spark: SparkSession, batch: int, arms: tuple[int, int], length: tuple[int, int], seed: int = 0, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A batch of :func:`stars_of`."""
+    return stars_of(spark.range(first, first + batch).withColumnRenamed("id", "inst"), arms, length, seed)
+
+
+def stars_of(ids: DataFrame, arms: tuple[int, int], length: tuple[int, int], seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Directed edges of stars, and (inst, start, end, arms, length). Each arm has ``length`` nodes, the common start
     among them; the end is the first arm's last node. In closed form: nothing is grown."""
     if min(arms) < 1 or min(length) < 2:
         raise ValueError("a star needs an arm, and an arm two nodes")
-    drawn = spark.range(first, first + batch).select(F.col("id").alias("inst"), between(*arms, seed, F.lit("arms"), "id").alias("arms"), between(*length, seed, F.lit("length"), "id").alias("length"))
+    drawn = ids.select("inst", between(*arms, seed, F.lit("arms"), "inst").alias("arms"), between(*length, seed, F.lit("length"), "inst").alias("length"))
     each = drawn.select("inst", "length", F.explode(F.sequence(F.lit(0), F.col("arms") * (F.col("length") - 1) - 1)).alias("edge_idx"))
     starts = F.col("edge_idx") % (F.col("length") - 1) == 0
     edges = each.select("inst", "edge_idx", F.when(starts, 0).otherwise(F.col("edge_idx")).cast("int").alias("u"), (F.col("edge_idx") + 1).cast("int").alias("v"))
@@ -136,53 +144,51 @@ def arm_edges(arms: DataFrame) -> DataFrame:
 
 
 def _noise(row: dict, max_parents: int, max_noise: int, seed: int) -> list[tuple[int, int]]:
-    """Edges of the nodes left over: each takes children among the nodes before it, likelier the more arcs lead into
-    them, and parents that it can't reach; so no cycle arises."""
-    n, edges = row["n"], {(e["u"], e["v"]) for e in row["edges"]}
-    first = 1 + max((max(e) for e in edges), default=0)
-    limit = n - first - 1 if max_noise == -1 else max_noise
-    if limit <= 0:
+    """Arcs of the nodes left over, each tied to nodes before it; no cycle arises.
+
+    The law: a node draws 0 to ``max_parents`` children with replacement, then as many different parents that it can't
+    reach (at least one if it has no child), both with weight 1/2 + the times a node was drawn as a child before. Such a
+    weight is a mixture: half a share for each node, a whole one for each earlier draw; so children are drawn from that
+    list. Parents are the least of exponential times, whose rates are the weights.
+    """
+    every = np.array([(e["u"], e["v"]) for e in row["edges"]], np.int64).reshape(-1, 2)
+    n, first = row["n"], int(every.max(initial=0)) + 1
+    if max_noise == 0 or first >= n - 1 and max_noise < 0:
         return []
-    below: dict[int, set[int]] = {}
-    for u, v in edges:
-        below.setdefault(u, set()).add(v)
-    weight = dict.fromkeys(range(n), 0.5)
-    out: list[tuple[int, int]] = []
-
-    def pick(weights: dict[int, float], *key) -> int:
-        x = host_uniform(seed, "noise", row["inst"], *key) * sum(weights.values())
-        for node, w in weights.items():
-            x -= w
-            if x < 0:
-                return node
-        return max(k for k, w in weights.items() if w > 0)
-
-    def add(u: int, v: int) -> None:
-        if v not in below.setdefault(u, set()):
-            below[u].add(v)
-            out.append((u, v))
-
-    for cur in range(first, n):
-        chances = {j: weight[j] for j in range(cur)}
-        children = host_between(0, max_parents, seed, "children", row["inst"], cur)
-        parents = host_between(0 if children else 1, max_parents, seed, "parents", row["inst"], cur)
-        for i in range(children):
-            child = pick(chances, cur, "child", i)
-            weight[child] += 1
-            add(cur, child)
-        reach, stack = set(), [cur]
-        while stack:
-            for x in below.get(stack.pop(), ()):
-                if x not in reach:
-                    reach.add(x)
-                    stack.append(x)
-        chances = {j: w for j, w in chances.items() if j not in reach}
-        for i in range(parents):
-            if chances:
-                parent = pick(chances, cur, "parent", i)
-                add(parent, cur)
-                del chances[parent]
-    return out
+    below = _reached(every, n)
+    met: list[int] = []
+    arcs: dict[tuple[int, int], None] = {}
+    draw = lambda *key: host_uniform(seed, "noise", row["inst"], *key)
+    for x in range(first, n):
+        n_children, n_parents = (host_between(low, max_parents, seed, what, row["inst"], x) for low, what in ((0, "children"), (0, "parents")))
+        if not n_children and not n_parents:
+            n_parents = host_between(1, max_parents, seed, "parent", row["inst"], x)
+        share = np.bincount(np.array(met, np.int64), minlength=x)[:x] + 0.5
+        spots = [draw(x, "child", i) * (x / 2 + len(met)) for i in range(n_children)]
+        chosen = [int(2 * s) if s < x / 2 else met[int(s - x / 2)] for s in spots]
+        met += chosen
+        below[x, chosen] = True
+        below[x] |= below[chosen].any(axis=0)
+        free = np.flatnonzero(~below[x, :x])
+        times = [-math.log(1 - draw(x, "parent", int(j))) / share[j] for j in free]
+        above = free[np.argsort(times, kind="stable")[:n_parents]]
+        arcs |= dict.fromkeys([(x, c) for c in chosen] + [(int(p), x) for p in above])
+        # all that leads to a parent, and the parent, now leads to x and on
+        sources = below[:, above].any(axis=1)
+        sources[above] = True
+        below[sources] |= below[x] | (np.arange(n) == x)
+    return list(arcs)
+
+
+def _reached(arcs: np.ndarray, n: int) -> np.ndarray:
+    """Which nodes each node leads to: the closure of arcs, squared until it stands."""
+    below = np.zeros((n, n), bool)
+    below[arcs[:, 0], arcs[:, 1]] = True
+    while True:
+        more = below | (below.astype(np.float32) @ below > 0)
+        if (more == below).all():
+            return below
+        below = more
 
 
 def balanced(nodes: DataFrame, reserve: int = 0, max_parents: int = 4, max_noise: int = -1, seed: int = 0, end_on_path: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.functions.written import cut
 from graphloom.operators import splits
-from graphloom.operators.distances import cut
 from graphloom.plans import dataset
 from graphloom.sources import registry
 

@@ -142,13 +142,6 @@ def test_registry(spark, kind):
         registry.graphs(spark, "ring")
 
 
-def test_first_that_fits(spark):
-    nodes = random_graphs.instances(spark, 30, 20, 20, 9)
-    edges = random_graphs.first_that_fits(lambda a: random_graphs.erdos_renyi(nodes, 0.2, a), 12, 36)
-    sizes = [r["count"] for r in edges.groupBy("inst").count().collect()]
-    assert max(sizes) <= 36 and len(sizes) >= 28
-
-
 def test_graphs_that_are_too_large_are_drawn_again_up_to_max_attempts(spark):
     """Few draws fit: after 7 tries most of the batch would be missing."""
     for family, options in (("erdos_renyi", {"min_num_nodes": 4, "max_num_nodes": 24, "max_edges": 4}), ("random_tree", {"min_num_nodes": 6, "max_num_nodes": 12, "max_edges": 6, "max_depth": -1})):
@@ -158,3 +151,14 @@ def test_graphs_that_are_too_large_are_drawn_again_up_to_max_attempts(spark):
         assert len(counts) == 12 and max(counts.values()) <= options["max_edges"]
         assert all(max(r.u, r.v) < size[r.inst] for r in edges.collect())
         assert ends is None or {r.inst for r in ends.collect()} == set(counts)
+
+
+def test_attempts_end_at_max_attempts(spark):
+    """Trees of 12 nodes never fit into 3 edges: all attempts are made, then every instance is left out."""
+    options = {"min_num_nodes": 12, "max_num_nodes": 12, "max_edges": 3, "max_depth": -1, "bernoulli_p": 0.0, "batch_size": 2}
+    nodes, edges, ends = registry.graphs(spark, "random_tree", max_attempts=5, **options)
+    assert nodes.isEmpty() and edges.isEmpty() and ends.isEmpty()
+    # of attempts that fit the first is taken
+    options |= {"min_num_nodes": 3, "batch_size": 8}
+    few, many = (sorted(map(tuple, registry.graphs(spark, "random_tree", max_attempts=m, **options)[0].collect())) for m in (3, 40))
+    assert set(few) <= set(many) and len(many) == 8

@@ -170,24 +170,30 @@ def test_told_searches_verify_and_spoilt_ones_do_not(spark, batch, flags):
     traces.unpersist()
 
 
-def test_every_code_of_the_search_verifier():
+def test_every_code_of_the_search_verifier(spark):
     v = VOCAB
-    marks, ids = v.depth_ids(), {s: v[s] for s in "[]{}"}
-    a, b, c = 23, 24, 25
-    near = {a: {b}, b: {a, c}, c: {b}}
-    read = lambda q=False, t=False: lambda x: verify._Reader(x, marks, v["D"], ids, q, t)
     say = lambda text: [v[s] if s in v.ids and not s.isdigit() else int(s) for s in text.split()]
-    code = lambda text, q=False, t=False, start=a, end=c, best=2: verify.bfs_verdict(say(text), start, end, near, best, len(v.ids), read(q, t))
-    assert code("D0 23 [ 24 ] D1 24 [ 25 ]") == 1
-    assert code("D0 23 [ 24 25 ] D1 24 [ 25 ]") == 0
+    dist = spark.createDataFrame([(0, x, y, abs(x - y)) for x in (23, 24, 25) for y in (23, 24, 25)], "inst long, src int, dst int, d int")
+    near = spark.createDataFrame([(0, x, y, abs(x - y) if {x, y} != {23, 25} else 1) for x in (23, 24, 25) for y in (23, 24, 25)], "inst long, src int, dst int, d int")
+
+    def code(text, q=False, t=False, start=23, end=25, of=dist):
+        rows = spark.createDataFrame([(0, start, end, None if text is None else say(text))], "inst long, start int, end int, tokens array<int>")
+        return verify.verify_bfs(rows, of, v, len(v.ids), q, t).first().code
+
+    assert code("D0 23 [ 24 ] D1 24 [ 25 ]") == code("D 23 [ 24 ] D 24 [ 25 ]") == 1
+    assert code("D0 23 [ 24 25 ] D1 24 [ 25 ]") == code("D0 23 [ 25 24 ] D1 24 [ 25 ]") == 0
     assert code("23 [ 24 ]") == -1
     assert code("D0 23 [ 24 ]", q=True) == -2 and code("D0 { 23 [ 24 ]", q=True) == -22 and code("D0 { 23 }", q=True) == -3
-    assert code("D0 23 24 ]") == -4 and code("D0 23 [ 24") == -44
+    assert code("D0 23 24 ]") == code("D0 23") == -4 and code("D0 23 [ 24") == -44
     assert code("D0 23 [ 24 ]", t=True) == -444 and code("D0 23 [ 24 ] { 24", t=True) == -4444
     assert code("D0 23 [ 999 ]") == -5 and code("D0 23 [ 25 ] { 999 }", t=True) == -6
-    assert code("D0 23 [ 24 ] D1 24 [ ]") == -7 and code("D0 24 [ 25 ]") == -8
-    assert code("D0 23 [ 24 ] D1 24 [ 25 ]", best=1) == -10
+    assert code("D0 23 [ 25 999 ] D1 24 [ 25 ]") == -7  # wrong before it is outside, and no real hop
+    assert code("D0 23 [ 24 ] D1 24 [ ]") == -7 and code("D0 24 [ 25 ]") == code("") == code(None) == -8
+    assert code("D0 23 [ 24 ] D1 24 [ 25 ]", of=near) == -10
     assert code("D0 23 [ 25 ] { 24 } D1 24 [ 25 ] { 25 }", t=True) == 1
+    # the first fault of the text decides
+    assert code("D0 23 [ 999 ] D1 24") == -5 and code("D0 23 [ D1 24 [ 999 ]") == -44
+    assert code("D0 { 23 } 23 [ 24 ] D1 { 24 } 24 [ 25 ]", q=True) == 1
     assert set(verify.BFS_CODES) >= {1, 0, -9}
 
 
