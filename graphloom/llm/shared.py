@@ -1,54 +1,37 @@
-"""Tables in the folder that the driver and all executors share.
-
-Lineage is cut by writing a table under ``spark.checkpoint.dir`` and reading it back, so that a lost executor costs a
-re-read and never a recomputation from the source.
-"""
+"""Tables in between, and Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
-
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from graphloom.functions.shipping import own_folder, ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where the session has none (tests, local runs), a new one is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(own_folder())
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame
 
+from graphloom.functions.shipping import ship
+from graphloom.functions.written import fresh_path
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_TABLES: list[str] = []
+_RECORD: ContextVar[list[str] | None] = ContextVar("tables written", default=None)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables that :func:`materialize` has written so far: for jobs whose steps read only what the step before
-    has written, at the beginning of each step."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def recorded(paths: list[str]):
+    """Notes in ``paths`` the tables that :func:`materialize` writes within, for who knows when nothing reads them any more."""
+    token = _RECORD.set(paths)
+    try:
+        yield
+    finally:
+        _RECORD.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back; its plan starts at that table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    _TABLES.append(path)
+    if (paths := _RECORD.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

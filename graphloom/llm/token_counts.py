@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions.written import fresh_path
 from graphloom.llm.packing import cached
-from graphloom.llm.shared import fresh_path, map_arrow
+from graphloom.llm.shared import map_arrow
 
 #: Ids of a block.
 BLOCK = 1 << 18

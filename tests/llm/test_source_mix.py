@@ -1,6 +1,8 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from math import comb
+from statistics import stdev
 
 import pytest
 
@@ -79,23 +81,48 @@ def test_the_mix_has_the_words_of_the_plan(spark):
     assert len(shards) == 32 and max(shards.values()) < 2 * sum(shards.values()) / 32  # blocks of one or two documents here
 
 
+def test_the_result_comes_from_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    split = source_mix._split
+    # a tree that loses a source: so does the result
+    monkeypatch.setattr(source_mix, "_split", lambda *args: split(*args).filter("slot <> 1"))
+    assert sum(r.taken for r in source_mix.mixed_sizes(docs, block_words=50).collect() if r.source == "") == 0
+    monkeypatch.setattr(source_mix, "_split", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        source_mix.mixed_sizes(docs)
+
+
 def test_split_draws_every_block_once_and_halves_exactly(spark):
     quotas = spark.createDataFrame([(1, 37), (2, 5), (3, 1), (4, 0)], "slot int, quota long")
     leaves = source_mix._split(quotas, 3, 7).collect()
-    by_slot, by_leaf = defaultdict(int), defaultdict(int)
+    by_slot, by_leaf = defaultdict(list), defaultdict(int)
     for r in leaves:
-        by_slot[r.slot] += r.quota
+        by_slot[r.slot] += range(r.start, r.start + r.quota)
         by_leaf[r.node] += r.quota
-    assert by_slot == {1: 37, 2: 5, 3: 1}
+    assert {s: sorted(x) for s, x in by_slot.items()} == {1: [*range(37)], 2: [*range(5)], 3: [0]}
     assert set(by_leaf) == set(range(8)) and max(by_leaf.values()) - min(by_leaf.values()) <= 1
+    assert leaves == source_mix._split(quotas.repartition(3), 3, 7).collect()
+
+
+def test_a_leaf_follows_the_hypergeometric_law(spark):
+    """Left halves of nodes with 6, 3 and 1 blocks: every outcome as often as the law says."""
+    held = "array(named_struct('slot', 1, 'start', 0L, 'quota', 6L), named_struct('slot', 2, 'start', 0L, 'quota', 3L), named_struct('slot', 3, 'start', 0L, 'quota', 1L))"
+    n = 20000
+    nodes = spark.range(n).selectExpr("id as node", f"{held} as held")
+    got = Counter(tuple(x["quota"] for x in r[0]) for r in nodes.select(source_mix._half(3)).collect())
+    assert all(sum(k) == 5 for k in got)
+    for a in range(7):
+        for b in range(4):
+            if 0 <= (c := 5 - a - b) <= 1:
+                want = n * comb(6, a) * comb(3, b) * comb(1, c) / comb(10, 5)
+                assert abs(got[a, b, c] - want) < 5 * want**0.5 + 1
 
 
-def test_a_hypergeometric_share_on_average(spark):
-    got = []
-    for seed in range(6):
-        leaves = source_mix._split(spark.createDataFrame([(1, 60), (2, 40)], "slot int, quota long"), 1, seed).collect()
-        got.append(sum(r.quota for r in leaves if r.slot == 1 and r.node == 0))
-    assert 26 <= sum(got) / 6 <= 34 and len(set(got)) > 1
+def test_large_counts_are_drawn_in_the_middle(spark):
+    nodes = spark.range(400).selectExpr("id as node", "array(named_struct('slot', 1, 'start', 0L, 'quota', 600000L), named_struct('slot', 2, 'start', 0L, 'quota', 400000L)) as held")
+    got = [r[0][0]["quota"] for r in nodes.select(source_mix._half(3)).collect()]
+    # mean 300000, standard deviation sqrt(500000 * 0.6 * 0.4 * 0.5) = 245
+    assert abs(sum(got) / 400 - 300000) < 5 * 245 / 20 and 200 < stdev(got) < 290
 
 
 def test_odd_tables(spark):
@@ -107,3 +134,9 @@ def test_odd_tables(spark):
     out = source_mix.mixed_sizes(same).collect()
     assert sum(r.taken for r in out) == 21 and max(r.taken for r in out) <= 8
     assert sum(r.taken for r in source_mix.mix_sources(same).collect()) == 21
+    # rows without doc_id are told apart by their texts; names that are taken
+    lone = spark.createDataFrame([(None, f"w{i} " * 5, "s", 1, 2, 3) for i in range(200)], SCHEMA + ", shard int, mix_shard int, pass int")
+    blocks = source_mix._Plan(lone.select("doc_id", "text", "source"), "source", 1.5, 2.0, (5, 2, 1), 7, 100, 50, 8, 64)
+    assert blocks.dealt.select("block").distinct().count() > 10
+    out = source_mix.mix_sources(lone)
+    assert out.columns == [*lone.columns, "mix_mix_shard", "mix_pass", "taken"] and sum(r.taken for r in out.collect()) == 1500
