@@ -24,7 +24,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mixed_sizes(table(spark, sf_dir, "documents")).drop("source")
+    return source_mix.mixed_sizes(table(spark, sf_dir, "documents")).drop("source", "shards")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +78,10 @@ windows AS (SELECT r, i, w[i : i + 4] AS g FROM split, LATERAL (SELECT unnest(ra
 twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY r),
 counts AS (SELECT s.r, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[ \t-\r]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, list_max([{'n': length(y), 'w': y} for y in w]) AS context FROM split s LEFT JOIN covered c ON c.r = s.r),
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CASE WHEN len(w) > 0 THEN lower(array_to_string(w, ' ')) END AS whole FROM split s LEFT JOIN covered c ON c.r = s.r),
 lines AS (SELECT r, lower(array_to_string([y for y in regexp_split_to_array(x, '[ \t-\r]+') if y <> ''], ' ')) AS line, len([y for y in regexp_split_to_array(x, '[ \t-\r]+') if y <> '']) AS n FROM (SELECT r, unnest(l) AS x FROM split)),
-hosts AS (SELECT source, count(DISTINCT context) AS of FROM counts GROUP BY source),
-often AS (SELECT c.source, line, count(DISTINCT context) AS c FROM lines JOIN counts c USING (r) GROUP BY ALL HAVING count(DISTINCT context) > 30),
+hosts AS (SELECT source, count(DISTINCT whole) AS of FROM counts GROUP BY source),
+often AS (SELECT c.source, line, count(DISTINCT whole) AS c FROM lines JOIN counts c USING (r) GROUP BY ALL HAVING count(DISTINCT whole) > 30),
 gone AS (SELECT o.source, line FROM often o JOIN hosts h ON h.source IS NOT DISTINCT FROM o.source WHERE o.c > 0.02 * h.of),
 lost AS (SELECT l.r, sum(l.n) AS n FROM lines l JOIN counts c USING (r) JOIN gone g ON g.line = l.line AND g.source IS NOT DISTINCT FROM c.source GROUP BY l.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
@@ -89,7 +89,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (coalesce(lost.n, 0) > 0.8 * n_words OR (2 * coalesce(lost.n, 0) > n_words AND n_words - coalesce(lost.n, 0) < 10)) AS kept
 FROM counts c LEFT JOIN lost ON lost.r = c.r""",
     "op3_source_mix": r"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, len([y for y in regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') if y <> ''])::BIGINT AS size FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) AS key, source, len([y for y in regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') if y <> ''])::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS slot FROM docs GROUP BY source),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][(slot - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM per),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -98,13 +98,13 @@ level AS (SELECT arg_min(level, (cap / weight, slot)) AS level FROM levels WHERE
 total AS (SELECT sum(size) AS total FROM docs),
 targets AS (SELECT w.source, slot, source_size, least(cap, weight * l.level) AS target,
   greatest(1, least(n_docs, round(source_size / greatest(1, least(4194304, total // 1024)))))::BIGINT AS n_blocks FROM weighed w, level l, total),
-dealt AS (SELECT d.*, t.slot, t.source_size, t.target, ('0x' || substr(md5(concat_ws(':', '7:block', doc_id)), 1, 8))::BIGINT % n_blocks AS block FROM docs d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source),
+dealt AS (SELECT d.*, t.slot, t.source_size, t.target, ('0x' || substr(md5(concat_ws(':', '7:block', key)), 1, 8))::BIGINT % n_blocks AS block FROM docs d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source),
 blocks AS (SELECT slot, block, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, round(any_value(target))::BIGINT AS due FROM dealt GROUP BY slot, block HAVING sum(size) > 0),
 drawn AS (SELECT slot, block, pass, words, greatest(0, least(words, greatest(0, least(source_size, due - pass * source_size))
   - coalesce(sum(words) OVER (PARTITION BY slot, pass ORDER BY ('0x' || substr(md5(concat_ws(':', '7:permute', pass, slot, block)), 1, 8))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
   FROM blocks, (SELECT unnest([0, 1]) AS pass)),
 placed AS (SELECT d.r, d.doc_id, d.size, d.source_size, d.target, x.pass, x.words, x.take,
-  coalesce(sum(d.size) OVER (PARTITION BY d.slot, d.block, x.pass ORDER BY ('0x' || substr(md5(concat_ws(':', '7:cut', d.doc_id)), 1, 8))::BIGINT, d.doc_id, d.size, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(d.size) OVER (PARTITION BY d.slot, d.block, x.pass ORDER BY ('0x' || substr(md5(concat_ws(':', '7:cut', d.key)), 1, 8))::BIGINT, d.key, d.size, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM dealt d LEFT JOIN drawn x ON x.slot = d.slot AND x.block = d.block)
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target)::DOUBLE AS target, sum(greatest(0, least(size, coalesce(take, 0) - before)))::BIGINT AS taken FROM placed GROUP BY r, doc_id""",
     "op7_chat_format": r"""

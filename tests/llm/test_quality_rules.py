@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from graphloom.llm import quality_rules
 from graphloom.llm.queries import op4_quality_rules
 
@@ -49,7 +51,12 @@ def _site():
     return rows
 
 
-def test_frequent_lines_go_and_copies_stay(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_frequent_lines_go_and_copies_stay(spark, monkeypatch, few):
+    """By broadcast, and by joining lines and rows as with very many frequent lines or rejected rows."""
+    if not few:
+        monkeypatch.setattr(quality_rules, "FEW_LINES", 0)
+        monkeypatch.setattr(quality_rules, "FEW_ROWS", 0)
     docs = spark.createDataFrame(_site(), "doc_id long, text string, source string")
     out = {r.doc_id: r for r in quality_rules.quality_rules(docs)[0].collect()}
     assert all(out[i].kept and out[i].lost_words == 13 for i in range(40))
