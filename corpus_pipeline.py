@@ -11,16 +11,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import jaccard_join, packing, quality_rules, source_mix
-from graphloom.llm.shared import fresh_path, sweep
+from graphloom.functions.written import delete, fresh_path
+from graphloom.llm.shared import recorded
+
+#: Tables that the last stage over a folder has written in between.
+_BETWEEN: dict[str, list[str]] = {}
 
 
 def stage(function):
-    """A stage reads only what the one before has written: what that one wrote in between can go."""
+    """A stage reads only what the one before has written: what that one wrote in between, over the same folder, can go."""
 
     @wraps(function)
     def run_alone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark)
-        return function(spark, docs, sf_dir)
+        paths = _BETWEEN.setdefault(sf_dir, [])
+        while paths:
+            delete(spark, paths.pop())
+        with recorded(paths):
+            return function(spark, docs, sf_dir)
 
     return run_alone
 
