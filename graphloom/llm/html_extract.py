@@ -1,12 +1,13 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree of elements (end tags that HTML implies are supplied; scripts, styles and comments are
-never text). Furniture is taken out first: elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or reader comments. Inside an article or main element names only count where they are whole: one
-word, or words that all name furniture or a piece of a page, and no heading or paragraph goes by its id. Every node then has its characters, tags, link characters and link tags, and
-from them a link-adjusted density of characters per tag; its density sum adds up those of its children. The node of
-the greatest sum is the heart of the article. The least density on its path up to the body is the threshold: outside
-that path, subtrees at least as dense are content too, each by its own node of greatest sum. An ``article`` element
+never text). Names are a prior: elements whose tag, role, class or id says menu, header, footer, sidebar, notice,
+advert, form or reader comments have no text. Inside an article or main element names only count where they are whole:
+one word, or words that all name furniture or a piece of a page, and no heading or paragraph goes by its id. Every node
+then has its characters, tags, link characters and link tags, and from them a link-adjusted density of characters per tag; its density sum adds up those of its children. The node of
+the greatest sum is the heart of the article. The least density on its path up to the body is the threshold: beside
+that path, subtrees at least as dense are content too, each by its own node of greatest sum if that sum reaches the
+threshold as well; so links and bare text in boxes go by density, whatever their names. An ``article`` element
 round the heart is taken whole in the heart's place; so are the articles inside it that hold most of its text, with
 whatever else of it is dense enough.
 """
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.llm.shared import map_arrow
 
@@ -261,8 +263,10 @@ def _selected(tree: _Tree, gone: list[bool]) -> list[int]:
             continue
         beside = tree.parent[i] in path
         if tree.tag[core] != "article":
-            if beside:
-                chosen.append(max((j for j in range(i, end[i] + 1) if chars[j]), key=lambda j: (total[j], -j)))
+            best = max((j for j in range(i, end[i] + 1) if chars[j]), key=lambda j: (total[j], -j))
+            # bare text in a box has no sum: a slogan, a line of rights; only paragraphs and headings count by themselves
+            if beside and (total[best] >= threshold or tree.tag[best] in _PLAIN):
+                chosen.append(best)
                 last = end[i]
         elif tree.tag[i] == "article" or beside and heart < i <= end[heart]:
             chosen.append(i)
@@ -306,7 +310,8 @@ def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
     table gives none; other columns stay as they are. Pages are taken whole, however long.
     """
     keep = [c for c in pages.columns if c not in (column, "text", "n_chars")]
-    rows = pages.select(F.struct(*keep).alias("_doc") if keep else F.lit(None).cast("int").alias("_doc"), F.col(column).cast("string").alias("html"))
-    kind = rows.schema["_doc"].dataType.simpleString()
-    out = map_arrow(rows, _extract, f"_doc {kind}, text string")
+    # a name may hold dots, spaces or backticks
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
+    rows = pages.select(F.struct(*own).alias("_doc") if keep else F.lit(None).cast("int").alias("_doc"), F.col(column).cast("string").alias("html"))
+    out = map_arrow(rows, _extract, StructType([rows.schema["_doc"], StructField("text", StringType())]))
     return out.select(*(F.col("_doc").getField(c).alias(c) for c in keep), "text", F.char_length("text").cast("long").alias("n_chars"))

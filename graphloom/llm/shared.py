@@ -8,6 +8,7 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from graphloom.functions.shipping import ship
 from graphloom.functions.written import fresh_path
@@ -36,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers.
 
     Rows are whole texts here: Spark's default of 10,000 rows a batch, if nobody has changed it, is lowered for the session,
