@@ -32,15 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.llm.components import connected_components
+from graphloom.llm.components import connected_components, join_by_key
 from graphloom.llm.shared import map_arrow, materialize
 
 #: Most entries of the broadcast table of frequent shingles: 16 bytes each.
 TABLE = 1 << 20
 #: Up to so many document ids are broadcast to pick documents out of a scan; beyond, they are joined.
 FEW_IDS = 1 << 20
-#: No set of more shingles is treated as light, whatever the histogram.
-LIGHT_LIMIT = 48
 #: Cost of an entry of an inverted list, verification included, against one subset key.
 LIST_COST = 6.0
 _CHUNK = 1 << 20
@@ -100,25 +98,36 @@ def _count_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
     yield pa.record_batch({"kind": np.ones(len(sizes), np.int32), "key": np.array([*sizes], np.int64), "n": np.array([*sizes.values()], np.int64)})
 
 
-def light_boundary(sizes: dict[int, int], percent: int) -> int:
-    """The size from which sets are heavy: the one of least total cost, at most LIGHT_LIMIT."""
+def _subsets(n: int, percent: int) -> int:
+    return sum(comb(n, d) for d in range(_missing(n, percent) + 1))
+
+
+def _list_cost(n: int, percent: int) -> float:
+    return LIST_COST * (_missing(n, percent) + 1)
+
 
-    def subsets(n: int) -> int:
-        return sum(comb(n, d) for d in range(_missing(n, percent) + 1))
+def largest_light(percent: int) -> int:
+    """No set of more shingles has fewer subsets than a list entry costs (1024 where that is never so)."""
+    fit = [n for n in range(1, 1025) if _missing(n, percent) <= 4 and _subsets(n, percent) <= _list_cost(n, percent)]
+    return fit[-1]
+
+
+def light_boundary(sizes: dict[int, int], percent: int) -> int:
+    """The size from which sets are heavy: the one of least total cost."""
 
     def cost(x: int) -> float:
         both = (x - 1) * 100 // percent  # the largest partner of a light set
-        return sum(c * ((subsets(n) if 0 < n <= both else 0) + (LIST_COST * (_missing(n, percent) + 1) if n >= x else 0)) for n, c in sizes.items())
+        return sum(c * ((_subsets(n, percent) if 0 < n <= both else 0) + (_list_cost(n, percent) if n >= x else 0)) for n, c in sizes.items())
 
-    return min(range(1, LIGHT_LIMIT + 1), key=lambda x: (cost(x), x))
+    return min(range(1, largest_light(percent) + 2), key=lambda x: (cost(x), x))
 
 
 def _statistics(docs: DataFrame, k: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The light boundary, and the most frequent shingles with their document counts."""
     counted = map_arrow(docs.select("text"), lambda it: _count_batches(it, k), "kind int, key long, n long")
     table = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "shingle-counts")
-    # one row for each set size below the limit, then one for each order of magnitude: both bounded
-    sizes = {r["key"]: r["n"] for r in table.filter(f"kind = 1 and key <= {2 * LIGHT_LIMIT * 100 // percent}").collect()}
+    # one row for each set size that may be light or its partner, then one for each order of magnitude: both bounded
+    sizes = {r["key"]: r["n"] for r in table.filter(f"kind = 1 and key <= {(largest_light(percent) + 1) * 100 // percent}").collect()}
     steps = F.floor(F.log2("n") * 4)
     fit = 0
     lowest = 1 << 62
@@ -196,24 +205,29 @@ def _differ(a: str, b: str) -> Column:
     return F.when(F.size(folded(x, y)) == F.size(folded(y, x)), F.aggregate(each, F.lit(0), lambda s, v: s + v))
 
 
-_SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, parity array<long>, listed array<long>, subset array<long>, subset_size array<int>"
+def _prints(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    with np.errstate(over="ignore"):
+        both = (np.add.reduce(K.mix64(grams ^ np.uint64(i)), dtype=np.uint64) for i in (1, 2))
+        return tuple(int(np.uint64(x).view(np.int64)) for x in both)
+
+
+_SIGNATURE = "doc_id long, row long, n long, fp1 long, fp2 long, parity array<long>, listed array<long>, subset array<long>, subset_size array<int>"
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, light: int, order) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("parity", "listed", "subset")), ("subset_size", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("parity", "listed", "subset")), ("subset_size", pa.list_(pa.int32()))])
     place = None
     both = (light - 1) * 100 // percent
     for batch in batches:
         place = place or _Order(*order.value)
-        rows: dict[str, list] = {c: [] for c in schema.names if c != "doc_id"}
+        rows: dict[str, list] = {c: [] for c in schema.names if c not in ("doc_id", "row")}
         for grams in _shingles(batch.column(1), k):
             n = len(grams)
-            with np.errstate(over="ignore"):
-                one = np.add.reduce(K.mix64(grams ^ np.uint64(1)), dtype=np.uint64)
-                two = np.add.reduce(K.mix64(grams ^ np.uint64(2)), dtype=np.uint64)
+            one, two = _prints(grams)
             rows["n"].append(n)
-            rows["fp1"].append(int(np.uint64(one).view(np.int64)))
-            rows["fp2"].append(int(np.uint64(two).view(np.int64)))
+            rows["fp1"].append(one)
+            rows["fp2"].append(two)
             rows["parity"].append(_parity(grams) if n >= light else None)
             rows["listed"].append(_signed(place.first(grams, _missing(n, percent) + 1)) if n >= light else None)
             if 0 < n <= both:
@@ -223,18 +237,19 @@ def _sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, light
             else:
                 rows["subset"].append(None)
                 rows["subset_size"].append(None)
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(rows[c], schema.field(c).type) for c in schema.names[1:])], schema=schema)
+        yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), *(pa.array(rows[c], schema.field(c).type) for c in schema.names[2:])], schema=schema)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [_signed(g) for g in _shingles(batch.column(1), k)]
-        yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "grams": pa.array(sets, pa.list_(pa.int64()))})
+        sets = [*_shingles(batch.column(1), k)]
+        prints = np.array([_prints(g) for g in sets], np.int64).reshape(-1, 2)
+        yield pa.record_batch({"fp1": prints[:, 0], "fp2": prints[:, 1], "grams": pa.array([_signed(g) for g in sets], pa.list_(pa.int64()))})
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, grams) with the whole set of each document."""
-    return map_arrow(docs.select("doc_id", "text"), lambda it: _set_batches(it, k), "doc_id long, grams array<long>")
+    """(fp1, fp2, grams) with the whole set of each row."""
+    return map_arrow(docs.select("doc_id", "text"), lambda it: _set_batches(it, k), "fp1 long, fp2 long, grams array<long>")
 
 
 # ----------------------------------------------------------------------------------------------------------- links
@@ -256,10 +271,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     for side in ("a", "b"):
         ends = ends.join(short.select(F.col("node").alias(side), F.col("parity").alias(f"p{side}"), F.col("n").alias(f"n{side}")), side)
     near = materialize(ends.filter(_differ("pa", "pb") <= _allowed(percent)).select("a", "b", "na", "nb"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(_pick(docs, ids), k).groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id", "fp1", "fp2"), "node")
+    wanted = materialize(wanted, "wanted")
+    # a doc_id may have other texts too: sets are known by their prints
+    found = shingle_sets(_pick(docs, wanted.select(F.col("least_id").alias("doc_id")).distinct()), k)
+    sets = materialize(found.join(wanted, ["fp1", "fp2"]).groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     for side in ("a", "b"):
-        near = near.join(sets.select(F.col("doc_id").alias(side), F.col("grams").alias(f"g{side}")), side)
+        near = near.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"g{side}")), side)
     common = F.size(F.array_intersect("ga", "gb")).cast("long")
     return near.withColumn("i", common).filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
@@ -277,10 +295,11 @@ def _heavy_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, known:
     """Links among heavy sets that, with ``known`` ones, make all components."""
     each = nodes.filter("listed is not null").select("node", "n", "copies", F.posexplode("listed").alias("place", "gram"))
     # most shingles are listed once: only their hashes are counted, and only the others' entries go on
-    shared = each.groupBy("gram").agg(F.count("*").alias("of")).filter("of > 1").drop("of")
-    entries = materialize(each.join(shared, "gram"), "entries")
+    shared = each.groupBy("gram").agg(F.count("*").alias("of")).filter("of > 1")
+    total = nodes.agg(F.sum(F.size("listed"))).first()[0] or 0
+    entries = materialize(join_by_key(each, shared, ["gram"], "of", total), "entries")
     pivot = F.max_by(F.struct("node", "n"), F.struct("copies", -F.col("n"), -F.col("node")))
-    lists = entries.drop("copies").join(entries.groupBy("gram").agg(pivot.alias("pivot")), "gram")
+    lists = join_by_key(entries.drop("copies"), entries.groupBy("gram").agg(pivot.alias("pivot"), F.count("*").alias("of")), ["gram"], "of", total)
 
     def possible(na: str, nb: str, pa_: str, pb: str) -> Column:
         """Sizes, and what is left from the shared shingle on, allow a link: so it is for the first one that a linked pair shares."""
@@ -295,59 +314,77 @@ def _heavy_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, known:
     part = connected_components(first)
     placed = lists.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    split = materialize(placed.select("gram", "node", "n", "place", "component").join(main, "gram"), "split-lists")
-    stray = split.filter("component <> main").select("gram", "node", "n", "place", F.col("component").alias("ca"), F.lit(True).alias("astray"))
-    other = split.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("cb"), (F.col("component") != F.col("main")).alias("astray2"))
-    cross = stray.join(other, "gram").filter("ca <> cb and (not astray2 or node < node2)")
+    main = sizes.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("of")).filter("parts > 1").drop("parts")
+    split = materialize(join_by_key(placed.select("gram", "node", "n", "place", "component"), main, ["gram"], "of", total), "split-lists")
+    # linked sets differ in size by one step of a geometric scale at most: lists meet by shingle and step
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) - 1e-9) if percent < 100 else F.col("n")
+    near = F.explode(F.array(step - 1, step, step + 1) if percent < 100 else F.array(step))
+    stray = split.filter("component <> main").select("gram", "node", "n", "place", F.col("component").alias("ca"), near.alias("step"))
+    other = split.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("cb"), (F.col("component") != F.col("main")).alias("astray2"), step.alias("step"))
+    cross = stray.join(other, ["gram", "step"]).filter("ca <> cb and (not astray2 or node < node2)")
     cross = cross.filter(possible("n", "n2", "place", "place2"))
     pairs = materialize(cross.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "cross")
     return first.unionByName(_verified(pairs, nodes, docs, k, percent))
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, representative, component_id) for every row of ``docs(doc_id, text, ...)``.
-
-    representative: the smallest doc_id with an equal set; component_id: the smallest reachable by links, itself
-    included. Null or empty texts have an empty set, a component of their own and no links. A row without doc_id has
-    neither representative nor component. Rows with one doc_id count as one document with the links of each. Other
-    columns are ignored; an empty table gives no rows. Very long texts are taken whole.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, row, n, representative, component_id) for every row of docs(doc_id, text, row)."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     light, keys, n = _statistics(docs, k, percent)
-    order = spark.sparkContext.broadcast((keys, n))
-    signed = materialize(map_arrow(docs, lambda it: _sign_batches(it, k, percent, light, order), _SIGNATURE), "signatures")
-    own = signed.select("doc_id", "n", "fp1", "fp2")
+    order = docs.sparkSession.sparkContext.broadcast((keys, n))
+    signed = materialize(map_arrow(docs.select("doc_id", "text", "row"), lambda it: _sign_batches(it, k, percent, light, order), _SIGNATURE), "signatures")
     some = [F.first(c).alias(c) for c in ("parity", "listed", "subset", "subset_size")]
-    nodes = materialize(signed.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *some), "nodes")
+    sets = signed.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *some)
+    # a number for each set: one doc_id may have many
+    nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = _heavy_links(nodes, docs, k, percent, materialize(_light_links(nodes, percent), "light"))
     part = connected_components(links)
-    sets = nodes.select("fp1", "fp2", "n", F.col("node").alias("representative")).join(part.withColumnRenamed("node", "representative"), "representative", "left")
-    sets = sets.withColumn("component", F.coalesce("component", "representative"))
-    out = own.join(sets, ["fp1", "fp2", "n"], "left")
-    alone = F.col("n") == 0
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("representative")).alias("representative"),
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-    )
+    known = nodes.select("fp1", "fp2", "n", "node", "least_id", "copies").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = known.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("of"))
+    known = materialize(join_by_key(known, names, ["component"], "of", known.count()).select("fp1", "fp2", "n", F.col("least_id").alias("representative"), "component_id", "copies"), "groups")
+    own = signed.select("doc_id", "row", "n", "fp1", "fp2")
+    grouped = F.col("n") > 0
+    met = join_by_key(own.filter(grouped & F.col("doc_id").isNotNull()), known, ["fp1", "fp2", "n"], "copies", known.agg(F.sum("copies")).first()[0] or 0)
+    alone = own.filter(~grouped | F.col("doc_id").isNull()).withColumns({"representative": F.col("doc_id"), "component_id": F.col("doc_id")})
+    return met.unionByName(alone).drop("fp1", "fp2")
+
+
+def _rows(docs: DataFrame) -> list[Column]:
+    """doc_id, text and a hash of the text, by which rows of one doc_id are told apart."""
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row")]
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, representative, component_id) for every row of ``docs(doc_id, text, ...)``.
+
+    representative: the smallest doc_id with an equal set; component_id: the smallest reachable by links, itself
+    included. Null or empty texts have an empty set, a component of their own and no links. A row without doc_id has
+    neither representative nor component. Rows of one doc_id with different texts are documents each. Other columns are
+    ignored; an empty table gives no rows. Very long texts are taken whole.
+    """
+    out = _grouped(docs.select(*_rows(docs)), k, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "representative", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names the group. Repeated rows of one doc_id with
-    equal texts count as copies too, and one stays; rows without doc_id stay."""
-    groups = jaccard_groups(docs, k, percent)
-    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    """``docs`` with one row of each group: that whose doc_id names the group, of such rows with different texts the one
+    of the least hash, of rows that agree in both the first by their JSON text. Rows without doc_id or words stay, but
+    for repeated ones of one doc_id. Cases as in :func:`jaccard_groups`.
+    """
+    groups = _grouped(docs.select(*_rows(docs)), k, percent).filter("doc_id is not null")
+    groups = materialize(groups.groupBy("component_id", "doc_id", "row").agg(F.count("*").alias("of")), "rows")
+    first = groups.filter("component_id = doc_id").groupBy("doc_id", "component_id").agg(F.min("row").alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    later = groups.join(first, ["doc_id", "component_id"]).filter("row <> first").select("doc_id", "row")
+    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id", "row").unionByName(later), "copies")
     few = gone.limit(FEW_IDS + 1).count() <= FEW_IDS
     # the caller's columns travel in one struct, where no name can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("_doc"))
-    left = rows.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    twice = materialize(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    doc_id, _, row = _rows(docs)
+    rows = docs.select(doc_id, row, F.struct("*").alias("_doc"))
+    left = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "row"], "left_anti")
+    twice = materialize(groups.filter("of > 1").select("doc_id", "row"), "repeated")
     if not twice.isEmpty():
-        some = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
-        left = left.join(twice, "doc_id", "left_anti").unionByName(some)
+        some = left.join(twice, ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+        left = left.join(twice, ["doc_id", "row"], "left_anti").unionByName(some)
     return left.select("_doc.*")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from graphloom.llm import jaccard_join
+from graphloom.llm import components, jaccard_join
 
 SCHEMA = "doc_id long, text string, component string"
 
@@ -52,8 +52,11 @@ def varied(seed):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 80)])
-def test_equals_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "few"), [(3, 90, True), (5, 80, False), (1, 80, True)])
+def test_equals_brute_force(spark, monkeypatch, k, percent, few):
+    """By broadcast, and as with very many rows, where only hot keys are broadcast."""
+    if not few:
+        monkeypatch.setattr(components, "FEW", 0)
     rows = varied(k)
     out = jaccard_join.jaccard_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), k, percent).collect()
     assert len(out) == len(rows)
@@ -87,6 +90,42 @@ def test_empty_table_and_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(odd).collect()) == ["1", "None"]
 
 
+def test_one_doc_id_with_two_texts_has_the_links_of_each(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    near = lambda t: t.replace("w0 ", "x ")
+    rows = [(5, a, "x"), (5, b, "x"), (7, near(a), "x"), (3, near(b), "x"), (9, "other words here", None), (9, "other words here", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_groups(docs, 3, 90).collect()}
+    assert got == {(5, 5), (7, 5), (5, 3), (3, 3), (9, 9)}
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.keep_one(docs, 3, 90).collect()) == sorted([(5, a), (3, near(b)), (9, "other words here")])
+
+
+def test_columns_that_have_no_hash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", {"x": 1})] * 2 + [(2, "a b c d e f", {"x": 2})], "doc_id long, text string, row map<string,int>")
+    assert [tuple(r) for r in jaccard_join.keep_one(docs).collect()] == [(1, "a b c d e f", {"x": 1})]
+
+
+@pytest.mark.parametrize(("k", "percent", "n"), [(3, 90, 10), (5, 80, 7)])
+def test_the_light_half_finds_links_by_proper_subsets(spark, k, percent, n):
+    """Short texts and the same without their first or last word: all sets are light, and no list is made."""
+    draw = random.Random(n)
+    rows = []
+    for _ in range(40):
+        base = [f"v{draw.randrange(5000)}" for _ in range(n + k - 1)]
+        rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate((base, base[1:], base[:-1]))]
+    assert jaccard_join.light_boundary({n: 40, n - 1: 80}, percent) > n
+    lists = []
+    heavy = jaccard_join._heavy_links
+    spy = lambda nodes, *a: lists.append(nodes.filter("listed is not null").count()) or heavy(nodes, *a)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "_heavy_links", spy)
+        out = jaccard_join.jaccard_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), k, percent).collect()
+    want = brute(rows, k, percent)
+    assert lists == [0] and {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
 def test_light_boundary_follows_the_histogram():
     assert jaccard_join.light_boundary({}, 90) == 1
     assert jaccard_join.light_boundary({5: 1000}, 90) > 5
