@@ -6,8 +6,10 @@ threshold or nearer. A search keeps a beam of the nearest found; where the whole
 for that vector until it isn't, so that no number of partners is too large. How wide beams start is set by an audit:
 vectors of the shard and vectors of other shards that have partners in it are sought by brute force, and the beam
 doubles until it finds enough of their partners, on average over vectors and never counting a vector itself; where too
-few are met, vectors planted beside the shard's own fill up the audit. Whatever a search finds is verified in double precision. Each task reports counts by vector and a
-spanning forest of the links it found, not the pairs; components are the union of all forests.
+few are met, vectors planted beside the shard's own fill up the audit. Whatever a search finds is verified in double
+precision. A task takes two shards, searches each one's graph by the other's vectors, and unites what the two directions
+have found, so that a link counts for both its ends whichever end has found it. It reports counts by vector and a
+spanning forest of the links, not the pairs; components are the union of all forests.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
 from graphloom.llm import kernels as K
-from graphloom.llm.components import connected_components
+from graphloom.llm.components import connected_components, join_by_key
 from graphloom.llm.shared import materialize
 
-#: Vectors of a shard: at least so many and at most so many, and 64 shards in between.
+#: Vectors of a shard: at least so many and at most so many, and 64 shards in between; and its bytes at most.
 SHARD = (1 << 14, 1 << 18)
+SHARD_BYTES = 1 << 28
 LEAST_SHARDS = 4
 #: Links of a node in upper layers; the lowest has twice as many.
 LINKS = 12
@@ -212,10 +215,15 @@ class Graph:
 
     def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs found with a cosine of about ``least`` or more; beams that are full of them widen."""
+        out = [*self.parts_within(q, least, width)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(x for _, x in out)])
+
+    def parts_within(self, q: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same in parts."""
         least -= 1e-5
         q = np.ascontiguousarray(q, np.float32)
         left = np.arange(len(q))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
         while len(left):
             width = min(width, len(self.x))
             again = []
@@ -227,10 +235,9 @@ class Graph:
                 full = hit.all(axis=1) & (width < len(self.x))
                 again.append(some[full])
                 r, c = np.nonzero(hit & ~full[:, None])
-                out.append((some[r], self.back[ids[r, c]]))
+                yield some[r], self.back[ids[r, c]]
             left = np.concatenate(again)
             width *= 4
-        return np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64), np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
 
     def _partnered(self, q: np.ndarray, own: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
         """The first AUDIT of the vectors that have partners here, by place, and how many each has. own: the rows of
@@ -330,30 +337,51 @@ def _build(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "beam": pa.array([beam], pa.int64()), "recall": [recall], "size": pa.array([len(node)], pa.int64()), "index": pa.array([out.getvalue()], pa.large_binary()).cast(pa.binary())})
 
 
-def _probe(table: pa.Table, least: float) -> pa.Table:
-    """One shard's graph searched by one block of vectors: rows (node, links, other): links counts, or other an edge."""
-    own = np.load(io.BytesIO(table.column("index")[0].as_py()))
-    block = np.load(io.BytesIO(table.column("queries")[0].as_py()))
-    graph = Graph.__new__(Graph)
-    theirs = _unit(own["v"])
-    graph.back = own["back"]
-    graph.x = np.ascontiguousarray(theirs[graph.back], np.float32)
-    graph.layers = [own[f"layer{h}"] for h in range(len(own.files) - 4)]
-    q = block["v"]
-    unit = _unit(q)
-    a, b = graph.within(unit, least, table.column("beam")[0].as_py())
-    exact = np.empty(len(a))
-    for i in range(0, len(a), 1 << 16):
-        exact[i : i + (1 << 16)] = np.einsum("nd,nd->n", unit[a[i : i + (1 << 16)]], theirs[b[i : i + (1 << 16)]])
-    real = (exact >= least) & (block["node"][a] != own["node"][b])
-    a, b = a[real], b[real]
-    links = np.bincount(a, weights=own["copies"][b], minlength=len(q)).astype(np.int64)
-    forest = _forest(block["node"][a], own["node"][b])
-    some = np.flatnonzero(links)
+class _Shard:
+    """A shard's graph as it was written, its unit vectors in double precision, their numbers and copies."""
+
+    def __init__(self, index: bytes, beam: int):
+        own = np.load(io.BytesIO(index))
+        self.node, self.copies, self.beam = own["node"], own["copies"], beam
+        self.unit = _unit(own["v"])
+        self.graph = Graph.__new__(Graph)
+        self.graph.back = own["back"]
+        self.graph.x = np.ascontiguousarray(self.unit[self.graph.back], np.float32)
+        self.graph.layers = [own[f"layer{h}"] for h in range(len(own.files) - 4)]
+
+
+def _links(asking: _Shard, asked: _Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of asking, row of asked) of different vectors that the search finds and double precision confirms."""
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for a, b in asked.graph.parts_within(asking.unit, least, asked.beam):
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            real = (np.einsum("nd,nd->n", asking.unit[x], asked.unit[y]) >= least) & (asking.node[x] != asked.node[y])
+            found.append((x[real].astype(np.int32), y[real].astype(np.int32)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _meet(table: pa.Table, least: float) -> pa.Table:
+    """Two shards, or one and itself: rows (node, links, other): links counts, or other an edge."""
+    one, two = (_Shard(table.column(c)[0].as_py(), table.column(f"{c}_beam")[0].as_py()) for c in ("index", "other"))
+    same = table.column("shard")[0] == table.column("block")[0]
+    a, b = _links(two, one, least)
+    y, x = (a, b) if same else _links(one, two, least)
+    # what either direction has found, once
+    keys = np.unique(np.concatenate([a.astype(np.int64) * len(one.node) + b, x.astype(np.int64) * len(one.node) + y]))
+    a, b = keys // len(one.node), keys % len(one.node)
+    sides = [(two.node, a, one.copies[b])] if same else [(two.node, a, one.copies[b]), (one.node, b, two.copies[a])]
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for node, at, weight in sides:
+        links = np.bincount(at, weights=weight, minlength=len(node)).astype(np.int64)
+        some = np.flatnonzero(links)
+        rows.append((node[some], links[some]))
+    forest = _forest(two.node[a], one.node[b])
+    nodes, links = (np.concatenate(x) for x in zip(*rows, strict=True))
     return pa.table({
-        "node": pa.array(np.concatenate([block["node"][some], forest[:, 0]]), pa.int64()),
-        "links": pa.array(np.concatenate([links[some], np.zeros(len(forest), np.int64)]), pa.int64()),
-        "other": pa.array(np.concatenate([np.zeros(len(some), np.int64), forest[:, 1]]), pa.int64(), mask=np.arange(len(some) + len(forest)) < len(some)),
+        "node": pa.array(np.concatenate([nodes, forest[:, 0]]), pa.int64()),
+        "links": pa.array(np.concatenate([links, np.zeros(len(forest), np.int64)]), pa.int64()),
+        "other": pa.array(np.concatenate([np.zeros(len(nodes), np.int64), forest[:, 1]]), pa.int64(), mask=np.arange(len(nodes) + len(forest)) < len(nodes)),
     })
 
 
@@ -380,8 +408,10 @@ def embedding_groups(table: DataFrame, least: float = 0.9, column: str = "embedd
     Two vectors link if their cosine in double precision is ``least`` or more. component_id is the smallest vec_id
     reachable by links, kept whether it is the row's own. Vectors that are null, zero, empty, or hold null or
     non-finite components link with nothing; vectors of different lengths never link. Rows with one vec_id are
-    vectors each. A row without vec_id has neither component nor links, nor counts for others. Other columns are
-    ignored; an empty table gives no rows.
+    vectors each; equal vectors link with each other and have the links of one. A row without vec_id has neither
+    component nor links, nor counts for others. Other columns are ignored; an empty table gives no rows. A task holds two
+    shards and the links between them, 8 bytes each and direction; two shards travel once for each pair of them, so give
+    large executors large shards. Very long vectors make small shards.
     """
     spark = table.sparkSession
     ship(spark)
@@ -394,8 +424,9 @@ def embedding_groups(table: DataFrame, least: float = 0.9, column: str = "embedd
     # equal vectors are one node, named by their smallest id; equal names (one id, two vectors) are told apart by number
     nodes = good.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    n = nodes.count()
-    per = max(shard[0], min(shard[1], -(-n // 64)))
+    n, longest = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
+    # a row of the index holds a vector in double precision and some 40 numbers of 4 bytes, mostly its links
+    per = max(1, min(max(shard[0], min(shard[1], -(-n // 64))), SHARD_BYTES // (8 * (longest or 1) + 176)))
     shards = max(LEAST_SHARDS, -(-n // per))
     dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("deal"), F.size("v").alias("length"), "node", "copies", "v")
     # vectors of one length only meet: a shard is a part of a length
@@ -405,15 +436,20 @@ def embedding_groups(table: DataFrame, least: float = 0.9, column: str = "embedd
     guests = visits.select((F.col("shard") - F.col("deal") + F.col("to")).alias("shard"), "node", F.lit(0).cast("long").alias("copies"), "v")
     index = dealt.select("shard", "node", "copies", "v").unionByName(guests).groupBy("shard").applyInArrow(lambda t: _build(t, least), "shard long, beam long, recall double, size long, index binary")
     index = materialize(index, "graphs")
-    keys = index.select(F.col("shard").alias("block"), F.shiftright("shard", 32).alias("length"))
-    every = index.withColumn("length", F.shiftright("shard", 32)).join(F.broadcast(keys), "length")  # a row for each shard and block
-    pairs = every.select("shard", "block", "beam", "index").join(index.select(F.col("shard").alias("block"), F.col("index").alias("queries")), "block")
-    found = materialize(pairs.groupBy("shard", "block").applyInArrow(lambda t: _probe(t, least), "node long, links long, other long"), "links")
+    # every two shards of one length meet in one task, which has both graphs
+    length = F.shiftright("shard", 32).alias("length")
+    keys = index.select("shard", length)
+    pairs = keys.join(F.broadcast(keys.withColumnRenamed("shard", "block")), "length").filter("shard <= block").select("shard", "block")
+    pairs = pairs.join(index.select("shard", "index", F.col("beam").alias("index_beam")), "shard").join(index.select(F.col("shard").alias("block"), F.col("index").alias("other"), F.col("beam").alias("other_beam")), "block")
+    found = materialize(pairs.groupBy("shard", "block").applyInArrow(lambda t: _meet(t, least), "node long, links long, other long"), "links")
     part = connected_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.join(links, "node", "left").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = materialize(known.join(names, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "groups")
-    out = rows.withColumn("v", F.when(sound, scaled)).join(known, "v", "left")
+    names = known.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("of"))
+    known = join_by_key(known, names, ["component"], "of", n)
+    known = materialize(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"), "groups")
+    # a vector that very many rows have is broadcast, the others meet by shuffle
+    met = join_by_key(rows.filter(sound).select("vec_id", scaled.alias("v")), known, ["v"], "copies", known.agg(F.sum("copies")).first()[0] or 0)
+    out = met.select("vec_id", "n_links", "component_id").unionByName(rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

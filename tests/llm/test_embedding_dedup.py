@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import embedding_dedup as E
@@ -111,3 +112,48 @@ def test_audit_meets_vectors_of_other_shards():
     assert graph.audited_beam(0.9, guests)[1] >= E.RECALL
     met = np.concatenate(seen)
     assert all((met == g).all(axis=1).any() for g in guests)
+
+
+def _shard(x, node, graph=E.Graph):
+    out = E._Shard.__new__(E._Shard)
+    out.unit, out.node, out.copies, out.beam = x, node, np.ones(len(x), np.int64), 64
+    out.graph = graph(x, node)
+    return out
+
+
+class OneWay(E.Graph):
+    """Finds nothing for vectors whose first component is positive."""
+
+    def parts_within(self, q, least, width):
+        for a, b in super().parts_within(q, least, width):
+            yield a[q[a, 0] <= 0], b[q[a, 0] <= 0]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_a_link_counts_for_both_ends_whichever_finds_it(monkeypatch, same):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(400, 16))
+    x[200:] = x[:200] + 0.2 * draw.normal(size=(200, 16))
+    x[:200, 0] = -abs(x[:200, 0])
+    x[200:, 0] = abs(x[200:, 0]) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shards = [_shard(x, np.arange(400), OneWay)] * 2 if same else [_shard(x[:200], np.arange(200), OneWay), _shard(x[200:], np.arange(200, 400), OneWay)]
+    monkeypatch.setattr(E, "_Shard", lambda which, _: shards[which])
+    table = pa.table({"shard": [1], "block": [1 if same else 2], "index": [0], "other": [1], "index_beam": [64], "other_beam": [64]})
+    got = [r for r in E._meet(table, 0.9).to_pylist() if r["other"] is None]
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    # two vectors of which neither finds anything have no link here
+    close[200:, 200:] = False
+    if not same:
+        close[:200, :200] = False
+    assert close.any() and {r["node"]: r["links"] for r in got} == {i: int(n) for i, n in enumerate(close.sum(axis=1)) if n}
+
+
+def test_large_vectors_make_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD_BYTES", 50 * (8 * 24 + 176))
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(500, 24))
+    x[250:] = x[:250] + 0.05 * draw.normal(size=(250, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert found(E.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows)
