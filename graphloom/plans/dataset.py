@@ -49,17 +49,23 @@ def _vocab(options: dict, graph_type: str = "") -> Vocab:
 
 def build(spark: SparkSession, graph_type: str, task_type: str = "shortest_path", scratchpad_type: str = "none", seed: int = 0, first: int = 0, **options) -> Dataset:
     """One batch of a family with its task, tokens and packaging."""
+    ids = spark.range(first, first + options.get("batch_size", 256)).withColumnRenamed("id", "inst")
+    return build_of(ids, graph_type, task_type, scratchpad_type, seed, **options)
+
+
+def build_of(ids: DataFrame, graph_type: str, task_type: str = "shortest_path", scratchpad_type: str = "none", seed: int = 0, **options) -> Dataset:
+    """The same of the instances in ``ids(inst)``, whatever batch they come in."""
     if scratchpad_type not in ("none", "bfs", "dfs"):
         raise ValueError(f"no such scratchpad: {scratchpad_type}")
     tok, batch_size = group_of(TokenArgs, options), options.get("batch_size", 256)
     vocab = _vocab(options, graph_type)
     positions = options.get("positions", POSITIONS)
     if graph_type in ("khops", "khops_gen"):
-        return _khops(spark, graph_type, seed, first, options, tok, vocab, positions, batch_size)
+        return _khops(ids, graph_type, seed, options, tok, vocab, positions, batch_size)
     if task_type not in ("shortest_path", "bfs", "none", "None"):
         raise ValueError(f"no such task: {task_type}")
     directed = registry.is_directed(graph_type)
-    nodes, edges, ends = registry.graphs(spark, graph_type, seed, first, **options)
+    nodes, edges, ends = registry.graphs_of(ids, graph_type, seed, **options)
     edges = edges.repartition("inst").persist()
     data = _of_graphs(nodes, edges, ends, directed, graph_type, task_type, scratchpad_type, seed, options, tok, vocab, positions, batch_size)
     return data
@@ -111,9 +117,9 @@ def _of_graphs(nodes, edges, ends, directed, graph_type, task_type, scratchpad_t
     return Dataset(graph_type, task_type, scratchpad_type, vocab, own, edges, dist, packed, ends, whole, layout.packaged(whole, vocab, tok, batch_size), splits.distance_hashes(packed))
 
 
-def _khops(spark, graph_type, seed, first, options, tok, vocab, positions, batch_size) -> Dataset:
+def _khops(ids, graph_type, seed, options, tok, vocab, positions, batch_size) -> Dataset:
     args = group_of(KhopsArgs, options)
-    drawn = khop_sources.khops_instances(spark, batch_size, args, seed, first)
+    drawn = khop_sources.khops_of(ids, args, seed)
     low, high = vocab.min_vocab, vocab.max_vocab - 1
     # these tasks have no graph, and no structure in positions
     pos = PosArgs()

@@ -13,10 +13,15 @@ from graphloom.functions.partitions import quick_partition, shuffled, uniform_pa
 
 def khops_instances(spark: SparkSession, batch: int, args: KhopsArgs, seed: int, first: int = 0) -> DataFrame:
     """(inst, k, length): both drawn from their ranges."""
-    return spark.range(first, first + batch).select(
-        F.col("id").alias("inst"),
-        between(args.min_khops, args.max_khops, seed, F.lit("k"), "id").alias("k"),
-        between(args.min_prefix_length, args.max_prefix_length, seed, F.lit("length"), "id").alias("length"),
+    return khops_of(spark.range(first, first + batch).withColumnRenamed("id", "inst"), args, seed)
+
+
+def khops_of(ids: DataFrame, args: KhopsArgs, seed: int) -> DataFrame:
+    """The same of the instances in ``ids(inst)``."""
+    return ids.select(
+        "inst",
+        between(args.min_khops, args.max_khops, seed, F.lit("k"), "inst").alias("k"),
+        between(args.min_prefix_length, args.max_prefix_length, seed, F.lit("length"), "inst").alias("length"),
     )
 
 

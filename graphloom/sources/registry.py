@@ -26,8 +26,13 @@ def graphs(spark: SparkSession, graph_type: str, seed: int = 0, first: int = 0,
     without a graph after that are left out. Stars and balanced graphs have no attempts: their size follows from their
     parameters.
     """
+    size = group_of(BatchArgs, options).batch_size
+    return graphs_of(spark.range(first, first + size).withColumnRenamed("id", "inst"), graph_type, seed, **options)
+
+
+def graphs_of(ids: DataFrame, graph_type: str, seed: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The same of the instances in ``ids(inst)``, whatever batch they come in."""
     batch = group_of(BatchArgs, options)
-    ids = spark.range(first, first + batch.batch_size).withColumnRenamed("id", "inst")
     if graph_type in ("path_star", "balanced"):
         nodes, edges, ends = family(ids, graph_type, seed, **options)
         edges = edges.join(_fitting(nodes, edges, batch.max_edges), "inst", "left_semi")

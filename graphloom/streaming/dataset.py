@@ -26,7 +26,7 @@ def instance_offsets(spark: SparkSession, rows_per_second: int = 64) -> DataFram
 
 
 def train(spark: SparkSession, edges: DataFrame, split_hashes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, epochs_of: int | None = None, **options) -> StreamingQuery:
-    """Runs an endless training set: every micro-batch of ``edges`` becomes packaged instances with ``is_invalid``, which
+    """Runs a training set over what a source of edges has: every micro-batch of ``edges`` becomes packaged instances with ``is_invalid``, which
     says that a held-out split has them, and goes to ``sink(packaged, batch_id)``.
 
     split_hashes is read once, as it is when the query starts. With ``epochs_of`` an epoch column counts so many
@@ -50,16 +50,41 @@ def train(spark: SparkSession, edges: DataFrame, split_hashes: DataFrame, sink:
     return edges.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def endless(
+    spark: SparkSession, graph_type: str, split_hashes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
+    instances_per_batch: int = 256, partitions: int = 8, epochs_of: int | None = None, **options,
+) -> StreamingQuery:
+    """An endless training set of any family, until the query is stopped: as :func:`train`, without a source of edges.
+
+    Each micro-batch has the next ``instances_per_batch`` instance numbers, dealt to ``partitions`` tasks; graphs are drawn
+    from them there, and again up to max_attempts. Micro-batches follow each other at once; a restart from the checkpoint
+    goes on behind the last one.
+    """
+    held = split_hashes.persist()
+    clock = {"rowsPerBatch": instances_per_batch, "numPartitions": partitions, "startTimestamp": 0, "advanceMillisPerBatch": 1000}
+    numbers = spark.readStream.format("rate-micro-batch").options(**{k: str(v) for k, v in clock.items()}).load().select(F.col("value").alias("inst"))
+
+    def one(ids: DataFrame, number: int) -> None:
+        data = dataset.build_of(ids, graph_type, batch_size=instances_per_batch, **options)
+        marks = splits.marked(data.hashes, held).select("inst", "hash", "is_invalid")
+        out = data.packaged.join(marks, "inst", "left")
+        sink(out.withColumn("epoch", F.lit(number // epochs_of)) if epochs_of else out, number)
+        data.close()
+
+    return numbers.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+
+
 def epoch_batches(dataset_size: int, batch_size: int) -> int:
     """Batches of an epoch: one more than fit."""
     return dataset_size // batch_size + 1
 
 
-def static_set(spark: SparkSession, split: str, size: int, seed: int, graph_type: str = "erdos_renyi", **options) -> tuple[DataFrame, DataFrame]:
+def static_set(spark: SparkSession, split: str, size: int, seed: int, graph_type: str = "erdos_renyi", patience: int = 8, **options) -> tuple[DataFrame, DataFrame]:
     """A held-out set of ``size`` different instances: (packaged, split_hashes(split, hash)). Batches are made until there
-    are enough; equal instances count once."""
+    are enough; equal instances count once. After ``patience`` batches in a row without a new instance the family has no
+    more, and that is an error."""
     step = options.pop("batch_size", 256)
-    first, made, found = 0, None, 0
+    first, made, found, idle = 0, None, 0, 0
     while found < size:
         data = dataset.build(spark, graph_type, seed=seed, first=first, batch_size=step, **options)
         # written to the checkpoint folder: the plan doesn't grow with the number of batches
@@ -67,7 +92,10 @@ def static_set(spark: SparkSession, split: str, size: int, seed: int, graph_type
         data.close()
         made = one if made is None else made.unionByName(one)
         first += step
-        found = splits.first_of_each(made.select("inst", "hash"), size).count()
+        before, found = found, splits.first_of_each(made.select("inst", "hash"), size).count()
+        idle = idle + 1 if found == before else 0
+        if idle == patience:
+            raise ValueError(f"only {found} different instances in {first}, where {size} are asked for")
     chosen = splits.first_of_each(made.select("inst", "hash"), size)
     return made.join(chosen.select("inst"), "inst", "left_semi"), chosen.select(F.lit(split).alias("split"), "hash")
 

@@ -1,5 +1,8 @@
 """Streams make the same rows as batches, keep clear of held-out sets, and go on after a restart."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import splits
@@ -56,6 +59,32 @@ def test_static_set_and_splits(spark):
     assert S.epoch_batches(100, 32) == 4
 
 
+@pytest.mark.parametrize(("family", "options"), [("balanced", {"min_num_nodes": 30, "max_num_nodes": 34, "max_vocab_nodes": 40}), ("khops", {"max_vocab_nodes": 12, "max_prefix_length": 30})])
+def test_endless_streams_of_any_family_go_on_after_a_restart(spark, tmp_path, family, options):
+    got = []
+    held = spark.createDataFrame([], "split string, hash string")
+
+    def sink(batch, number):
+        got.extend((number, r.inst) for r in batch.select("inst").collect())
+
+    for upto in (2, 4):
+        query = S.endless(spark, family, held, sink, str(tmp_path / "c"), instances_per_batch=6, partitions=2, seed=3, **options)
+        end = time.monotonic() + 150
+        while len({n for n, _ in got}) < upto and query.isActive and time.monotonic() < end:
+            time.sleep(0.2)
+        assert query.exception() is None and query.isActive
+        query.stop()
+    by_batch = {n: sorted({i for m, i in got if m == n}) for n, _ in got}
+    assert sorted(by_batch) == list(range(len(by_batch))) and len(by_batch) >= 4
+    # a batch that was stopped half-way is made again, with the same instances
+    assert all(ids == list(range(6 * n, 6 * n + 6)) for n, ids in by_batch.items())
+
+
+def test_a_family_without_more_graphs_is_an_error(spark):
+    with pytest.raises(ValueError, match="different instances"):
+        S.static_set(spark, "valid", 50, 4, "path_star", patience=1, batch_size=2, min_num_arms=1, max_num_arms=1, min_arm_length=2, max_arm_length=2, shuffle_nodes=False)
+
+
 def test_windows_on_a_stream_are_the_batch_ones_that_the_watermark_closed(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     (tmp_path / "in").mkdir()
