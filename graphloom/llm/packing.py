@@ -11,6 +11,7 @@ assigned to the slots of the patterns; offsets follow from the true lengths, so
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -35,10 +36,29 @@ _PLAIN = re.compile(r"[\x21-\x26\x28-\x7e\xa1-\xff]+")
 _RUNS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+#: How a tokenizer file says that it lower-cases and cuts texts in this way.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_MARK = "</w>"
+
+
+def _cuts_words(path: str) -> bool:
+    """Whether the tokenizer drops white space, ends every word with a mark and cuts words as :class:`WordCache` does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        spec["model"].get("end_of_word_suffix") == _MARK
+        and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (cut.get("type"), cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ("Split", {"Regex": _CUTS}, "Removed", True)
+    )
+
+
 class WordCache:
-    """Ids, as little-endian unsigned 32-bit bytes, of texts, for tokenizers that end every word with a mark and drop
-    white space. Kept by word between spaces and line breaks, which such a tokenizer never joins, and below that by run,
-    which it never joins either. Bounded: a part that holds too much starts anew."""
+    """Ids, as little-endian unsigned 32-bit bytes, of texts. For tokenizers that end every word with a mark and drop
+    white space they are kept by word between spaces and line breaks, which such a tokenizer never joins, and below that
+    by run, which it never joins either. Bounded: a part that holds too much starts anew. With any other tokenizer each
+    text is encoded whole."""
 
     def __init__(self, path: str, plain: bool = False, most: int = 1 << 20):
         from tokenizers import Tokenizer
@@ -48,11 +68,19 @@ class WordCache:
         self.most = most
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.by_word = _cuts_words(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in vocab.items() if t.endswith(_MARK)]] = True
+
+    def fits(self, dtype: str, *ids: int) -> None:
+        """An error if an id of the vocabulary, or one of ``ids``, is beyond ``dtype``."""
+        if (most := max(len(self.ends) - 1, *ids)) > np.iinfo(dtype).max:
+            raise ValueError(f"id {most} doesn't fit {dtype}")
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.words)
         if new:
@@ -106,7 +134,9 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, seq_len: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    encode = cached(path).encode
+    cache = cached(path)
+    cache.fits(dtype, end_id)
+    encode = cache.encode
     end = np.array([end_id], "<u4").tobytes()
     width = np.dtype(dtype).itemsize
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens")), ("ids", pa.binary())])
@@ -130,8 +160,9 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = 4096, dtype: str = "<u4") -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each document's ids and ``end_id``, cut every ``seq_len`` ids.
 
-    ids: the bytes of numbers of ``dtype``, little-endian unsigned 32-bit if not given. A null text is empty and has ``end_id`` alone; a null doc_id stays null;
-    repeated rows each have their pieces; an empty table gives none; other columns are ignored.
+    ids: the bytes of numbers of ``dtype``, little-endian unsigned 32-bit if not given; an error if the vocabulary
+    doesn't fit. A null text is empty and has ``end_id`` alone; very long texts are encoded whole; a null doc_id stays
+    null; repeated rows each have their pieces; an empty table gives none; other columns are ignored.
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(thin, lambda it: _piece_batches(it, tokenizer, end_id, seq_len, dtype), _PIECES)

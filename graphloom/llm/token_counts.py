@@ -34,7 +34,9 @@ def _write_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bl
     from pyspark import TaskContext
 
     file = TaskContext.get().partitionId()
-    encode = cached(path, plain=True, most=1 << 18).encode
+    cache = cached(path, plain=True, most=1 << 18)
+    cache.fits(dtype, end_id)
+    encode = cache.encode
     schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("docs", pa.list_(pa.int64()))])
     whole = block * np.dtype(dtype).itemsize
     end = np.array([end_id], "<u4").tobytes()
@@ -126,8 +128,8 @@ def read_flat_files(spark, path: str, block: int = BLOCK, dtype: str = "<u2") ->
 def count_tokens(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
     """(doc_id, n_tokens) for each row of ``docs``, by writing flat token files and scanning them.
 
-    The separator isn't counted, and its string inside a text is ordinary text. A null or empty text has 0 tokens; a
-    null doc_id stays null; repeated rows each have their row; an empty table gives none; other columns are ignored.
+    The separator isn't counted, and its string inside a text is ordinary text. A null or empty text has 0 tokens; very
+    long texts run over many blocks; a vocabulary that doesn't fit ``dtype`` is an error; a null doc_id stays null; repeated rows each have their row; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
     table = spark.read.schema(_FILES).parquet(write_token_files(docs, tokenizer, end_id, block, dtype))

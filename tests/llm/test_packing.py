@@ -81,3 +81,30 @@ def test_knapsack_is_exact():
             best[w] = max([best[w - 1], *(best[w - s] + v for s, v in zip(sizes, value, strict=True) if s <= w)])
         found, count = packing._knapsack(value, sizes, 60)
         assert abs(found - best[60]) < 1e-9 and abs(count @ value - found) < 1e-9 and count @ sizes <= 60
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    assert packing.WordCache(PATH).by_word and not cache.by_word
+    for text in ODD:
+        assert np.frombuffer(cache.encode(text or ""), "<u4").tolist() == own.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    cache = packing.WordCache(PATH)
+    cache.fits("<u2", 2)
+    for dtype, end in (("<u1", 2), ("<u2", 1 << 16)):
+        try:
+            cache.fits(dtype, end)
+        except ValueError:
+            continue
+        raise AssertionError(dtype)
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    texts = ["a b c", "a b c", None, ""]
+    docs = spark.createDataFrame([(d, t) for d, t in zip([1, 1, None, None], texts)], "doc_id long, text string")
+    rows = packing.pack(packing.token_pieces(docs, PATH)).collect()
+    assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 4), (False, 4), (True, 1), (True, 1)]
+    assert sum(r.length for r in rows) == max(r.offset + r.length for r in rows)
