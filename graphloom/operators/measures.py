@@ -105,6 +105,16 @@ def profile(instances: DataFrame) -> DataFrame:
     return instances.rollup("graph_type", "task_type").agg(F.count("*").alias("instances"), F.avg("n").alias("nodes"), F.avg("e").alias("edges"))
 
 
+def profile_cube(instances: DataFrame) -> DataFrame:
+    """The same with every subtotal, and with approximate numbers of different sizes for tables too large to count exactly."""
+    return instances.cube("graph_type", "task_type").agg(F.count("*").alias("instances"), F.approx_count_distinct("n").alias("sizes"), F.avg("e").alias("edges"))
+
+
+def left_over(told: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``told`` that ``known`` doesn't account for, each as often as it is left over; null equals null."""
+    return told.exceptAll(known.select(told.columns))
+
+
 def pretty_distances(dense: DataFrame) -> DataFrame:
     """(inst, src, text): each row of a dense distance table (inst, src, dst, d) as text, for reading."""
     row = F.array_sort(F.collect_list(F.struct("dst", "d")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.config import BfsArgs, KhopsArgs, PathArgs, PosArgs, TokenArgs
-from graphloom.functions import partitions
+from graphloom.functions import names, partitions
 from graphloom.functions.draws import draw_sql
 from graphloom.functions.vocab import POSITIONS, default_vocab
 from graphloom.operators import distances as D
@@ -237,6 +237,18 @@ def centroid(spark, sf):
     return measures.center(D.distances(edges), tables.nodes(edges), centroid=True)
 
 
+_FIRST = "ask AS (SELECT inst, unnest([u, v]) AS node FROM edges WHERE edge_idx < 3), need AS (SELECT inst, count(DISTINCT node) AS need FROM ask GROUP BY inst)"
+
+
+@query(f"""{_DIST}, {_FIRST}, own AS (SELECT t.inst, t.src AS node, max(t.d)::BIGINT AS score FROM dist t JOIN (SELECT DISTINCT inst, node FROM ask) q ON q.inst = t.inst AND q.node = t.dst JOIN need n ON n.inst = t.inst
+  GROUP BY t.inst, t.src, need HAVING count(*) = need) SELECT inst, node, score FROM own QUALIFY rank() OVER (PARTITION BY inst ORDER BY score) = 1""")
+def center_of_few(spark, sf):
+    """The centre for a given query: the ends of each graph's first three edges. Graphs whose query no node reaches whole have none."""
+    edges = lineitem_edges(spark, sf)
+    ask = edges.filter("edge_idx < 3").select("inst", F.explode(F.array("u", "v")).alias("node")).distinct()
+    return measures.center(D.distances(edges), ask)
+
+
 @query(f"""{_DIST} SELECT x.inst, x.src AS a, y.src AS b, any_value(t.d) AS d, round(sqrt(sum((x.d - y.d) ** 2)), 6) AS euclidean, sum(abs(x.d - y.d))::BIGINT AS manhattan, sum(x.d * y.d)::BIGINT AS dot,
   round(sum(x.d * y.d) / sqrt(sum(x.d * x.d)::DOUBLE * sum(y.d * y.d)), 6) AS cosine
 FROM dist x JOIN dist y ON x.inst = y.inst AND x.dst = y.dst AND x.src < y.src JOIN dist t ON t.inst = x.inst AND t.src = x.src AND t.dst = y.src GROUP BY x.inst, x.src, y.src""")
@@ -455,8 +467,12 @@ def split_mask(spark, sf):
 
 
 # ------------------------------------------------------------------------------------------------------------ verifiers
-@query(f"""{_DIST}, {_ENDS}, {_WAY}, {_MAP}, told AS (SELECT inst, list(node ORDER BY step) AS p FROM way GROUP BY inst), last AS (SELECT inst, max(t) AS most FROM tok GROUP BY inst)
-SELECT inst, CASE inst % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -5 ELSE 0 END::INT AS code FROM told""")
+@query(f"""{_DIST}, {_ENDS}, {_WAY}, told AS (SELECT inst, list(node ORDER BY step) AS p FROM way GROUP BY inst),
+said AS (SELECT inst, p, CASE inst % 4 WHEN 0 THEN p WHEN 1 THEN p[1:len(p) - 1] WHEN 2 THEN p[1:1] || p ELSE p[1:2] || p END AS w FROM told),
+hop AS (SELECT inst, w[i] AS u, w[i + 1] AS v FROM said, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
+judged AS (SELECT h.inst, count(*) AS hops, count(a.u) AS real FROM hop h LEFT JOIN (SELECT DISTINCT inst, u, v FROM arcs) a ON a.inst = h.inst AND a.u = h.u AND a.v = h.v GROUP BY h.inst)
+SELECT s.inst, CASE WHEN len(w) = 0 OR w[1] <> p[1] OR w[-1] <> p[-1] THEN -1 WHEN t.d IS NULL THEN -3 WHEN real < hops THEN -5 WHEN hops > t.d THEN 0 ELSE 1 END::INT AS code
+FROM said s LEFT JOIN judged j ON j.inst = s.inst LEFT JOIN dist t ON t.inst = s.inst AND t.src = p[1] AND t.dst = p[-1]""")
 def verify_paths(spark, sf):
     """Right paths, paths cut short, paths with a hop to the same node, and paths that go one step back and forth."""
     edges, dist, way = _told(spark, sf)
@@ -558,6 +574,17 @@ def int_partition_counts(spark, sf):
     return partitions.counts_table(spark, 30).filter("total > 0")
 
 
+@query(f"""WITH RECURSIVE part(q, s, last, k) AS (SELECT f, f, f, 1 FROM (SELECT unnest(range(1, 31)) AS f) UNION ALL SELECT q, s + f, f, k + 1 FROM part, LATERAL (SELECT unnest(range(1, least(last, 30 - s) + 1)) AS f) WHERE s < 30),
+n AS (SELECT s, k, count(*)::VARCHAR AS n FROM part GROUP BY ALL), e AS (SELECT event_type, (count(*) % 30 + 1)::INT AS total FROM events GROUP BY ALL)
+SELECT event_type, total, k AS parts, n, {draw_sql(SEED, "event_type", "k")} AS drawn FROM e JOIN n ON n.s = e.total""")
+def partitions_lateral(spark, sf):
+    """SQL names: a table function behind a lateral join, and draws."""
+    names.register(spark)
+    asked = table(spark, sf, "events").groupBy("event_type").agg((F.count("*") % 30 + 1).cast("int").alias("total"))
+    drawn = f"graph_draw({SEED}, concat_ws(':', e.event_type, p.parts))"
+    return spark.sql(f"SELECT e.event_type, e.total, p.parts, p.n, {drawn} AS drawn FROM {{asked}} e, LATERAL partition_counts(e.total) p", asked=asked)
+
+
 # -------------------------------------------------------------------------------------------------------------- sources
 _BATCH = 64
 
@@ -627,6 +654,21 @@ def profile_rollup(spark, sf):
     return measures.profile(kind).fillna("all", ["graph_type", "task_type"]).select("graph_type", "task_type", "instances", F.round("edges", 6).alias("edges"))
 
 
+@query(f"""WITH {_EDGES}, g AS (SELECT inst, CASE WHEN inst % 2 = 0 THEN 'even' ELSE 'odd' END AS graph_type, CASE WHEN count(*) >= 20 THEN 'dense' ELSE 'sparse' END AS task_type, count(*) AS e FROM edges GROUP BY inst)
+SELECT coalesce(graph_type, 'all') AS graph_type, coalesce(task_type, 'all') AS task_type, count(*) AS instances, 1::BIGINT AS sizes, round(avg(e), 6) AS edges FROM g GROUP BY CUBE (graph_type, task_type)""")
+def profile_cube(spark, sf):
+    size = lineitem_edges(spark, sf).groupBy("inst").agg(F.count("*").alias("e"))
+    kind = size.select(F.when(F.col("inst") % 2 == 0, "even").otherwise("odd").alias("graph_type"), F.when(F.col("e") >= 20, "dense").otherwise("sparse").alias("task_type"), F.lit(NODES).alias("n"), "e")
+    return measures.profile_cube(kind).fillna("all", ["graph_type", "task_type"]).select("graph_type", "task_type", "instances", "sizes", F.round("edges", 6).alias("edges"))
+
+
+@query(f"""WITH {_EDGES}, both_ways AS (SELECT inst, u, v FROM edges UNION ALL SELECT inst, v, u FROM edges) SELECT * FROM both_ways EXCEPT ALL SELECT inst, least(u, v), greatest(u, v) FROM edges""")
+def edges_left_over(spark, sf):
+    """What edges told both ways hold beyond each edge from its smaller node."""
+    edges = lineitem_edges(spark, sf)
+    return measures.left_over(order.duplicated(edges).select("inst", "u", "v"), edges.select("inst", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_metrics(spark, sf):
     out = streams.windowed_metrics(table(spark, sf, "events"))

@@ -1,5 +1,6 @@
 """Paths, searches and k-hop chains against plain versions, and verifiers against what was told and what was spoilt."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -282,3 +283,25 @@ def test_generated_chains_verify(spark, right, fresh, method):
     labels = khops.generated_tokens(khop_sources.generated_segments(khop_sources.khops_instances(spark, 3, args, 3), 23, 60, args, 3), VOCAB, multi_label=True).collect()
     assert all(r.targets[1] == r.task[1:-1] for r in labels)
     assert spark.createDataFrame(rows, schema).select(F.size("prefix")).first()[0] > 0
+
+
+def test_sql_names(spark):
+    from graphloom.functions import names, partitions
+    from graphloom.functions.draws import draw
+
+    names.register(spark)
+    names.register(spark)  # again does no harm
+    got = {(r.total, r.parts): r.n for r in spark.sql("SELECT t.total, p.parts, p.n FROM VALUES (1), (7), (40), (0), (NULL) t(total), LATERAL partition_counts(t.total) p").collect()}
+    assert got == {(q, k): str(partitions.count(q, k, q)) for q in (1, 7, 40) for k in range(1, q + 1)}
+    r = spark.range(50).select(draw(5, "id").alias("a"), F.expr("graph_draw(5, CAST(id AS STRING))").alias("b"), F.expr("graph_uniform(5, CAST(id AS STRING))").alias("u")).collect()
+    assert all(x.a == x.b and x.u == x.a / 2**32 for x in r)
+    assert spark.sql("SELECT graph_hash(array(named_struct('s', 2, 'o', 1, 'd', 0), named_struct('s', 1, 'o', 2, 'd', 3))) AS h, graph_hash(NULL) AS n").first() == (hashlib.md5(b"1,2,3;2,1,0").hexdigest(), None)
+
+
+def test_left_over_keeps_repeats_and_nulls(spark):
+    told = spark.createDataFrame([(1, None), (1, None), (2, 3), (2, 3), (2, 3)], "inst long, u int")
+    known = spark.createDataFrame([(1, None), (2, 3)], "inst long, u int")
+    from graphloom.operators import measures
+
+    assert sorted(measures.left_over(told, known).collect(), key=str) == [(1, None), (2, 3), (2, 3)]
+    assert measures.left_over(told.limit(0), known).count() == 0
