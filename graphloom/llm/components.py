@@ -13,19 +13,22 @@ from graphloom.llm.shared import materialize
 
 #: A key with more than this part of all rows is hot: there are at most so many hot keys, few enough to be broadcast.
 HOT = 1 << 10
-#: Up to so many rows, whatever a table says of their keys is broadcast whole, at some 50 bytes a key.
+#: Up to so many rows, whatever a table says of their keys is broadcast whole, at some WIDTH bytes a key; of wider keys fewer.
 FEW = 1 << 20
+WIDTH = 50
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], of: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], of: str, total: int, how: str = "inner", width: int = WIDTH) -> DataFrame:
     """``rows`` joined to ``table``, which has each key once and in column ``of`` how many of the ``total`` rows have it.
 
     The table's hot keys are broadcast, so that their rows stay where they are; the others meet by shuffle. Of few rows
-    all keys are broadcast. Keys are without nulls. ``of`` is gone from the result.
+    all keys are broadcast. Keys are without nulls. ``of`` is gone from the result. width: bytes that a key and what the
+    table says of it take in a broadcast; FEW * WIDTH bytes are the most that is sent, in keys of any width.
     """
-    if total <= FEW:
+    few = FEW * WIDTH // max(WIDTH, width)
+    if total <= few:
         return rows.join(F.broadcast(table.drop(of)), keys, how)
-    most = max(16, total // HOT)
+    most = max(16, total // max(1, min(HOT, few)))
     names = [c for c in table.columns if c not in (*keys, of)]
     hot = table.filter(F.col(of) > most).select(*keys, F.struct(F.lit(True).alias("_is"), *names).alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")

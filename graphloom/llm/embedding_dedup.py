@@ -448,8 +448,9 @@ def embedding_groups(table: DataFrame, least: float = 0.9, column: str = "embedd
     names = known.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("of"))
     known = join_by_key(known, names, ["component"], "of", n)
     known = materialize(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"), "groups")
-    # a vector that very many rows have is broadcast, the others meet by shuffle
-    met = join_by_key(rows.filter(sound).select("vec_id", scaled.alias("v")), known, ["v"], "copies", known.agg(F.sum("copies")).first()[0] or 0)
+    # a vector that very many rows have is broadcast, the others meet by shuffle; a broadcast holds a vector as key and in its row
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    met = join_by_key(rows.filter(sound).select("vec_id", scaled.alias("v")), known, ["v"], "copies", total, width=2 * (8 * (longest or 1) + 50))
     out = met.select("vec_id", "n_links", "component_id").unionByName(rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

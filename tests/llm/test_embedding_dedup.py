@@ -1,7 +1,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.llm import components
 from graphloom.llm import embedding_dedup as E
 from graphloom.llm.queries import op8_embedding_dedup
 
@@ -157,3 +159,22 @@ def test_large_vectors_make_small_shards(spark, monkeypatch):
     x[250:] = x[:250] + 0.05 * draw.normal(size=(250, 24))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     assert found(E.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows)
+
+
+def test_broadcasts_of_vectors_are_bounded_by_bytes(spark, monkeypatch):
+    """What 1500 narrow keys may take, 300 vectors of 24 don't: only the hot one is sent."""
+    monkeypatch.setattr(components, "FEW", 1500)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, 24))
+    x[:40] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    sent, real = [], F.broadcast
+
+    def broadcast(df):
+        if "v" in df.columns:
+            sent.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(F, "broadcast", broadcast)
+    assert found(E.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows)
+    assert sent == [1]
