@@ -60,34 +60,43 @@ def _search(adjacent: np.ndarray) -> np.ndarray:
     return far
 
 
-def _tensor_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterator[pa.RecordBatch]:
+def searched(batches: Iterator[pa.RecordBatch], directed: bool, cells: int = _CELLS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, rows, far) for the told graphs (inst, us, vs, ...) of each batch, some at a time: far[k, a, b] is the distance in
+    the graph of row rows[k], -1 where no path is or a node has no edge."""
     for batch in batches:
-        inst = batch.column(0).to_numpy()
         us, vs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
-        at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
-        size = np.array([max(us[a:b].max(), vs[a:b].max()) + 1 for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+        at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())]).astype(np.int64)
+        size = np.maximum(np.maximum.reduceat(us, at[:-1]), np.maximum.reduceat(vs, at[:-1])).astype(np.int64) + 1 if len(us) else np.zeros(0, np.int64)
         order = np.argsort(size, kind="stable")
         i = 0
         while i < len(order):
             j = i + 1
-            while j < len(order) and (j + 1 - i) * int(size[order[j]]) ** 2 <= _CELLS:
+            while j < len(order) and (j + 1 - i) * int(size[order[j]]) ** 2 <= cells:
                 j += 1
             some = order[i:j]
             n = int(size[some[-1]])
             adjacent = np.zeros((len(some), n, n), bool)
+            long = (at[1:] - at[:-1])[some]
+            k = np.repeat(np.arange(len(some)), long)
+            edge = np.repeat(at[some] - np.cumsum(long) + long, long) + np.arange(len(k))
+            u, v = us[edge], vs[edge]
+            adjacent[k, u, v] = True
+            if not directed:
+                adjacent[k, v, u] = True
             present = np.zeros((len(some), n), bool)
-            for k, g in enumerate(some):
-                u, v = us[at[g] : at[g + 1]], vs[at[g] : at[g + 1]]
-                adjacent[k, u, v] = True
-                if not directed:
-                    adjacent[k, v, u] = True
-                present[k, u] = present[k, v] = True
+            present[k, u] = present[k, v] = True
             far = _search(adjacent)
-            k, a, b = np.nonzero((far >= 0) & present[:, :, None] & present[:, None, :])
-            yield pa.record_batch([pa.array(inst[some[k]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(far[k, a, b])], names=["inst", "src", "dst", "d"])
+            far[~present] = -1
+            yield batch, some, far
             i = j
 
 
+def _tensor_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterator[pa.RecordBatch]:
+    for batch, some, far in searched(batches, directed):
+        k, a, b = np.nonzero(far >= 0)
+        yield pa.record_batch([pa.array(batch.column(0).to_numpy()[some[k]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(far[k, a, b])], names=["inst", "src", "dst", "d"])
+
+
 def _tensor(edges: DataFrame, directed: bool) -> DataFrame:
     ship(edges.sparkSession)
     return told_graphs(edges).mapInArrow(lambda it: _tensor_batches(it, directed), _SCHEMA)
@@ -130,6 +139,28 @@ def _frontier(edges: DataFrame, directed: bool) -> DataFrame:
     return seen
 
 
+def asked_distances(edges: DataFrame, pairs: DataFrame, directed: bool = False) -> DataFrame:
+    """(inst, src, dst, d) for those of pairs(inst, src, dst) that a path joins, each once: the rows that
+    :func:`distances` has for them, in one pass over told graphs. Pairs and graphs meet as a row an instance."""
+    ship(edges.sparkSession)
+    asked = pairs.groupBy("inst").agg(F.collect_set(F.struct("src", "dst")).alias("p"))
+    rows = told_graphs(edges).join(asked.select("inst", F.col("p.src").cast("array<int>").alias("src"), F.col("p.dst").cast("array<int>").alias("dst")), "inst")
+    return rows.mapInArrow(lambda it: _asked_batches(it, directed), _SCHEMA)
+
+
+def _asked_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterator[pa.RecordBatch]:
+    for batch, some, far in searched(batches, directed):
+        part = batch.take(pa.array(some))
+        src, dst = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+        k = np.repeat(np.arange(len(some)), part.column(3).value_lengths().to_numpy())
+        # what is no node of the graph has no distance
+        known = (src >= 0) & (dst >= 0) & (src < far.shape[1]) & (dst < far.shape[1])
+        k, src, dst = k[known], src[known].astype(np.int32), dst[known].astype(np.int32)
+        d = far[k, src, dst]
+        k, src, dst, d = (x[d >= 0] for x in (k, src, dst, d))
+        yield pa.record_batch([pa.array(part.column(0).to_numpy()[k]), pa.array(src), pa.array(dst), pa.array(d)], names=["inst", "src", "dst", "d"])
+
+
 def densified(dist: DataFrame, every_node: DataFrame, missing: int = -1) -> DataFrame:
     """A row for every pair of nodes(inst, node), ``missing`` where no path is."""
     pairs = every_node.select("inst", F.col("node").alias("src")).join(every_node.select("inst", F.col("node").alias("dst")), "inst")

@@ -119,3 +119,21 @@ def test_symmetry_and_triangles(spark, sf):
     far = dist.selectExpr("inst", "src", "dst as mid", "d as a").join(dist.selectExpr("inst", "src as mid", "dst", "d as b"), ["inst", "mid"]).join(dist, ["inst", "src", "dst"])
     assert far.filter("d > a + b").count() == 0
     dist.unpersist()
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_told_scores_are_the_scores_of_the_distances(spark, directed):
+    edges = table(spark, random_graphs(5))
+    rows = [sorted((tuple(r[c] for c in ("inst", "a", "b", "d", "euclidean", "manhattan", "dot", "cosine")) for r in x.collect()), key=str) for x in (measures.told_scores(edges, directed), measures.row_scores(D.distances(edges, directed)))]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+    assert measures.told_scores(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_asked_distances_are_those_of_all_pairs(spark, directed):
+    graphs = random_graphs(6)
+    edges = table(spark, graphs)
+    asked = [(i, a, b) for i in range(len(graphs)) for a in (-1, 0, 3, 11, 40) for b in (0, 2, 7, 29, 1000)]
+    got = found(D.asked_distances(edges, spark.createDataFrame(asked + asked[:9] + [(99, 0, 0)], "inst long, src int, dst int"), directed))
+    want = {i: {p: d for p, d in plain(g, directed).items() if (i, *p) in asked} for i, g in enumerate(graphs)}
+    assert got == {i: x for i, x in want.items() if x}
