@@ -141,24 +141,30 @@ def _frontier(edges: DataFrame, directed: bool) -> DataFrame:
 
 def asked_distances(edges: DataFrame, pairs: DataFrame, directed: bool = False) -> DataFrame:
     """(inst, src, dst, d) for those of pairs(inst, src, dst) that a path joins, each once: the rows that
-    :func:`distances` has for them, in one pass over told graphs. Pairs and graphs meet as a row an instance."""
+    :func:`distances` has for them, in one pass over told graphs, which may be given instead of edges. Pairs and graphs meet as a row an instance."""
     ship(edges.sparkSession)
     asked = pairs.groupBy("inst").agg(F.collect_set(F.struct("src", "dst")).alias("p"))
-    rows = told_graphs(edges).join(asked.select("inst", F.col("p.src").cast("array<int>").alias("src"), F.col("p.dst").cast("array<int>").alias("dst")), "inst")
+    told = edges if "us" in edges.columns else told_graphs(edges)
+    rows = told.join(asked.select("inst", F.col("p.src").cast("array<int>").alias("src"), F.col("p.dst").cast("array<int>").alias("dst")), "inst")
     return rows.mapInArrow(lambda it: _asked_batches(it, directed), _SCHEMA)
 
 
 def _asked_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterator[pa.RecordBatch]:
-    for batch, some, far in searched(batches, directed):
-        part = batch.take(pa.array(some))
-        src, dst = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
-        k = np.repeat(np.arange(len(some)), part.column(3).value_lengths().to_numpy())
-        # what is no node of the graph has no distance
-        known = (src >= 0) & (dst >= 0) & (src < far.shape[1]) & (dst < far.shape[1])
-        k, src, dst = k[known], src[known].astype(np.int32), dst[known].astype(np.int32)
-        d = far[k, src, dst]
-        k, src, dst, d = (x[d >= 0] for x in (k, src, dst, d))
-        yield pa.record_batch([pa.array(part.column(0).to_numpy()[k]), pa.array(src), pa.array(dst), pa.array(d)], names=["inst", "src", "dst", "d"])
+    for batch in batches:
+        us, vs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        low = int(min(us.min(initial=0x7FFFFFFF), vs.min(initial=0x7FFFFFFF)))  # ids may begin far above 0
+        at = pa.array(np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())]).astype(np.int32))
+        told = pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(at, pa.array(x - np.int32(low))) for x in (us, vs))], names=["inst", "us", "vs"])
+        for _, some, far in searched(iter([told]), directed):
+            part = batch.take(pa.array(some))
+            src, dst = (part.column(i).flatten().to_numpy().astype(np.int64) - low for i in (3, 4))
+            k = np.repeat(np.arange(len(some)), part.column(3).value_lengths().to_numpy())
+            # what is no node of the graph has no distance
+            known = (src >= 0) & (dst >= 0) & (src < far.shape[1]) & (dst < far.shape[1])
+            k, src, dst = k[known], src[known], dst[known]
+            d = far[k, src, dst]
+            k, src, dst, d = (x[d >= 0] for x in (k, src, dst, d))
+            yield pa.record_batch([pa.array(part.column(0).to_numpy()[k]), pa.array((src + low).astype(np.int32)), pa.array((dst + low).astype(np.int32)), pa.array(d)], names=["inst", "src", "dst", "d"])
 
 
 def densified(dist: DataFrame, every_node: DataFrame, missing: int = -1) -> DataFrame:

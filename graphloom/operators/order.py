@@ -14,6 +14,11 @@ def node_map(nodes: DataFrame, min_vocab: int, max_vocab: int, seed: int, shuffl
 
     Instances with more nodes than ids raise an error.
     """
+    return node_names(nodes, min_vocab, max_vocab, seed, shuffle).select("inst", F.posexplode("tokens").alias("node", "token"))
+
+
+def node_names(nodes: DataFrame, min_vocab: int, max_vocab: int, seed: int, shuffle: bool = True) -> DataFrame:
+    """The same as (inst, tokens): the id of each node as an array by node."""
     size = max_vocab - min_vocab
     if size <= 0:
         raise ValueError("min_vocab must be below max_vocab")
@@ -22,7 +27,7 @@ def node_map(nodes: DataFrame, min_vocab: int, max_vocab: int, seed: int, shuffl
     if shuffle:
         drawn = F.transform(tokens, lambda t: F.struct(draw(seed, F.lit("node"), "inst", t).alias("d"), t.alias("t")))
         tokens = F.transform(F.array_sort(drawn), lambda x: x["t"])
-    return nodes.select("inst", F.posexplode(F.slice(tokens, F.lit(1), fits)).alias("node", "token"))
+    return nodes.select("inst", F.slice(tokens, F.lit(1), fits).alias("tokens"))
 
 
 def node_order(edges: DataFrame) -> DataFrame:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.config import PathArgs
-from graphloom.functions.draws import draw, host_draw, uniform
+from graphloom.functions.draws import draw, host_draw, host_uniform, uniform
 from graphloom.functions.kernels import map_instances
+from graphloom.functions.shipping import ship
 from graphloom.functions.vocab import Vocab
-from graphloom.operators.distances import told_graphs
+from graphloom.operators.distances import searched, told_graphs
 from graphloom.sources.tables import arcs
 
 #: Lengths drawn before any pair will do.
 _DRAWS = 11
+#: Cells of a tensor of distances that ends are drawn from.
+_CELLS = 1 << 19
 
 
 def start_end(dist: DataFrame, args: PathArgs, seed: int, starts: DataFrame | None = None) -> DataFrame:
@@ -49,6 +56,53 @@ def start_end(dist: DataFrame, args: PathArgs, seed: int, starts: DataFrame | No
     return chosen.select("inst", F.col("src").alias("start"), F.col("dst").alias("end"), "d")
 
 
+def told_ends(told: DataFrame, args: PathArgs, seed: int, directed: bool = False) -> DataFrame:
+    """What :func:`start_end` draws from the distances of told graphs (inst, us, vs), in one pass over them: no distances
+    leave a task."""
+    ship(told.sparkSession)
+    return told.mapInArrow(lambda it: _end_batches(it, args, seed, directed), "inst long, start int, end int, d int")
+
+
+def _end_batches(batches: Iterator[pa.RecordBatch], args: PathArgs, seed: int, directed: bool) -> Iterator[pa.RecordBatch]:
+    weights = args.weights()
+    marks = [float(sum(weights[: i + 1])) for i in range(len(weights) - 1)]
+    total = float(sum(weights))
+    for batch, some, far in searched(batches, directed, _CELLS):
+        inst = batch.column(0).to_numpy()[some]
+        n = far.shape[1]
+        most = far.max(axis=(1, 2))
+        # the drawn length in nodes, by graph, until one has pairs; -1 once any pair will do, 0 where there is none
+        there = np.zeros((len(some), int(most.max(initial=0)) + 1), bool)
+        for d in range(there.shape[1]):
+            there[:, d] = (far == d).any(axis=(1, 2))
+        out = []
+        for k in range(len(some)):
+            if most[k] < 1:
+                continue
+            key = int(inst[k])
+            turn = -1
+            for a in range(_DRAWS):
+                x = host_uniform(seed, "length", key, a) * total
+                d = args.min_path_length + sum(m <= x for m in marks) - 1
+                if 0 < d < there.shape[1] and there[k, d]:
+                    turn = d
+                    break
+            own = far[k]
+            src, dst = np.nonzero(own == turn if turn > 0 else own > 0)
+            if turn > 0 and host_uniform(seed, "choice", key) < args.sample_choice_node:
+                degree = (own == 1).sum(axis=1)[src]
+                if (degree >= 2).any():
+                    same = (own == turn).sum(axis=0)[dst]
+                    rank = np.where(degree >= 2, same * (n + 1) + degree, -1)
+                    src, dst = src[rank == rank.max()], dst[rank == rank.max()]
+            a, b = src.tolist(), dst.tolist()
+            i = min(range(len(a)), key=lambda i: (host_draw(seed, "pair", key, a[i], b[i]), a[i], b[i])) if len(a) > 1 else 0
+            out.append((key, a[i], b[i], int(own[a[i], b[i]])))
+        if out:
+            columns = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["inst", "start", "end", "d"])
+
+
 def toward(dist: DataFrame, ends: DataFrame) -> DataFrame:
     """(inst, node, left): each node's distance to its instance's end."""
     return dist.join(ends.select("inst", F.col("end").alias("dst")), ["inst", "dst"]).select("inst", F.col("src").alias("node"), F.col("d").alias("left"))
@@ -84,7 +138,7 @@ def label_smoothing(paths: DataFrame, edges: DataFrame, dist: DataFrame, directe
 
 def told_paths(edges: DataFrame, ends: DataFrame, seed: int, directed: bool = False) -> DataFrame:
     """(inst, start, end, path, labels): what :func:`shortest_paths` and :func:`label_smoothing` give, in one pass over
-    graphs that each fit one row. One search back from the end tells how far every node is; no distances are joined."""
+    graphs that each fit one row, from edges or told graphs (inst, us, vs). One search back from the end tells how far every node is; no distances are joined."""
 
     def kernel(row: dict) -> list[dict]:
         out: dict[int, set[int]] = {}
@@ -108,7 +162,8 @@ def told_paths(edges: DataFrame, ends: DataFrame, seed: int, directed: bool = Fa
             labels.append([step, *(x for x in good if x != step)])
         return [{"inst": inst, "start": start, "end": end, "path": path, "labels": labels}]
 
-    rows = told_graphs(edges).join(ends.select("inst", "start", "end"), "inst")
+    told = edges if "us" in edges.columns else told_graphs(edges)
+    rows = told.join(ends.select("inst", "start", "end"), "inst")
     return map_instances(rows, kernel, "inst long, start int, end int, path array<int>, labels array<array<int>>")
 
 

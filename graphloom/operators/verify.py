@@ -33,6 +33,14 @@ def verify_paths(predictions: DataFrame, dist: DataFrame, vocab_size: int, compa
     return rows.select("inst", code.when(F.coalesce("walked", F.lit(0)) > F.col("best"), 0).otherwise(1).alias("code"))
 
 
+def hops_and_ends(predictions: DataFrame) -> DataFrame:
+    """(inst, src, dst): the only pairs of predictions(inst, start, end, tokens) whose distances :func:`verify_paths` looks at."""
+    hops = F.when(F.size("tokens") > 1, F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct(F.get("tokens", i - 1).alias("src"), F.get("tokens", i).alias("dst"))))
+    none = F.expr("cast(array() as array<struct<src:int,dst:int>>)")
+    ends = F.array(F.struct(F.col("start").cast("int").alias("src"), F.col("end").cast("int").alias("dst")))
+    return predictions.select("inst", F.explode(F.concat(ends, F.coalesce(hops.cast("array<struct<src:int,dst:int>>"), none))).alias("p")).select("inst", "p.src", "p.dst").filter("src is not null and dst is not null")
+
+
 def verify_path(predictions: DataFrame, dist: DataFrame, vocab_size: int) -> DataFrame:
     """(inst, code) of predictions(inst, tokens): 1 a shortest path between its own ends, 0 a longer one, -1 none."""
     own = predictions.select("inst", F.get("tokens", F.lit(0)).alias("start"), F.element_at("tokens", -1).alias("end"), "tokens")

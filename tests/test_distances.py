@@ -5,7 +5,8 @@ import random
 import pytest
 
 from graphloom.operators import distances as D
-from graphloom.operators import measures, order
+from graphloom.config import PathArgs
+from graphloom.operators import measures, order, paths
 
 #: Two known graphs of 25 nodes, their centres for given queries, and a shortest path in each.
 G1 = "6-1 7-0 7-5 8-3 12-1 12-3 13-6 14-0 17-4 18-2 18-9 18-10 19-2 20-3 20-14 20-17 22-5 22-9 22-13 23-8 24-14 2-11 11-21 15-16 10-16"
@@ -129,6 +130,14 @@ def test_told_scores_are_the_scores_of_the_distances(spark, directed):
     assert measures.told_scores(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_ends_of_told_graphs_are_those_of_their_distances(spark, directed):
+    edges = table(spark, random_graphs(7, 60))
+    for args in (PathArgs(max_path_length=6, min_path_length=3, sample_choice_node=0.9), PathArgs(max_path_length=4, min_path_length=2, sample_choice_node=0.0), PathArgs(max_path_length=40, min_path_length=30, sample_choice_node=1.0)):
+        got, want = paths.told_ends(D.told_graphs(edges), args, 5, directed), paths.start_end(D.distances(edges, directed), args, 5)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 60
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_asked_distances_are_those_of_all_pairs(spark, directed):
     graphs = random_graphs(6)
