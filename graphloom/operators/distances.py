@@ -167,6 +167,31 @@ def _asked_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterato
             yield pa.record_batch([pa.array(part.column(0).to_numpy()[k]), pa.array((src + low).astype(np.int32)), pa.array((dst + low).astype(np.int32)), pa.array(d)], names=["inst", "src", "dst", "d"])
 
 
+def told_neighbours(told: DataFrame, directed: bool = False) -> DataFrame:
+    """(inst, near) of told graphs (inst, us, vs): a map from each node that has arcs to its neighbours."""
+    ship(told.sparkSession)
+    return told.select("inst", "us", "vs").mapInArrow(lambda it: _near_batches(it, directed), "inst long, near map<int,array<int>>")
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch], directed: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        us, vs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        k = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy())
+        if not directed:
+            k, us, vs = np.concatenate([k, k]), np.concatenate([us, vs]), np.concatenate([vs, us])
+        order = np.lexsort((vs, us, k))
+        k, us, vs = k[order], us[order], vs[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (us[1:] != us[:-1]) | (vs[1:] != vs[:-1])
+        k, us, vs = k[new], us[new], vs[new]
+        first = np.ones(len(k), bool)
+        first[1:] = (k[1:] != k[:-1]) | (us[1:] != us[:-1])
+        heads = np.flatnonzero(first)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(k)).astype(np.int32)), pa.array(vs))
+        maps = pa.MapArray.from_arrays(pa.array(np.searchsorted(k[heads], np.arange(len(batch) + 1)).astype(np.int32)), pa.array(us[heads]), lists)
+        yield pa.record_batch([batch.column(0), maps], names=["inst", "near"])
+
+
 def densified(dist: DataFrame, every_node: DataFrame, missing: int = -1) -> DataFrame:
     """A row for every pair of nodes(inst, node), ``missing`` where no path is."""
     pairs = every_node.select("inst", F.col("node").alias("src")).join(every_node.select("inst", F.col("node").alias("dst")), "inst")

@@ -26,7 +26,7 @@ def _neighbours(row: dict, directed: bool) -> dict[int, list[int]]:
 
 
 def bfs_traces(edges: DataFrame, ends: DataFrame, args: BfsArgs, directed: bool = False) -> DataFrame:
-    """(inst, found, path, steps): the search from start to end, level by level.
+    """(inst, found, path, steps): the search from start to end, level by level, in edges or told graphs (inst, us, vs).
 
     steps: (level, place, node, queue, nbrs) for each node looked at: queue is what of its level is still to be looked
     at, itself first; nbrs its neighbours not met before. The level in which the end is met is the last; it is
@@ -57,15 +57,16 @@ def bfs_traces(edges: DataFrame, ends: DataFrame, args: BfsArgs, directed: bool
             at = parent[at]
         return [{"inst": row["inst"], "found": found, "path": path[::-1], "steps": steps}]
 
-    rows = told_graphs(edges).join(ends.select("inst", "start", "end"), "inst")
+    told = edges if "us" in edges.columns else told_graphs(edges)
+    rows = told.join(ends.select("inst", "start", "end"), "inst")
     return map_instances(rows, kernel, "inst long, found boolean, path array<int>, steps array<struct<level:int,place:int,node:int,queue:array<int>,nbrs:array<int>>>")
 
 
-def bfs_tokens(traces: DataFrame, tokens: DataFrame, vocab: Vocab, args: BfsArgs) -> DataFrame:
+def bfs_tokens(traces: DataFrame, tokens: DataFrame | None, vocab: Vocab, args: BfsArgs) -> DataFrame:
     """(inst, scratchpad): ``# D0 [{ queue }] node [ nbrs ] [{ nbrs again }] ... D1 ...`` of each search that found its
-    end. With ``reverse_adjacency`` queue and neighbours are written backwards, and the repeat runs the other way."""
+    end. With ``reverse_adjacency`` queue and neighbours are written backwards, and the repeat runs the other way. Without ``tokens``, nodes go by their ids already."""
     lit = vocab.lit
-    of = lambda x: F.get("tokens", x)
+    of = (lambda x: x) if tokens is None else (lambda x: F.get("tokens", x))
     depths = F.array(*(F.lit(i) for i in vocab.depth_ids())) if args.unique_depth_markers else None
 
     def mark(level: Column) -> Column:
@@ -84,7 +85,8 @@ def bfs_tokens(traces: DataFrame, tokens: DataFrame, vocab: Vocab, args: BfsArgs
             parts += [F.array(lit("{")), F.reverse(nbrs), F.array(lit("}"))]
         return F.concat(*parts)
 
-    rows = traces.filter("found").join(tokens, "inst")
+    rows = traces.filter("found")
+    rows = rows if tokens is None else rows.join(tokens, "inst")
     return rows.select("inst", F.concat(F.array(lit("#")), F.flatten(F.transform("steps", told))).alias("scratchpad"))
 
 

@@ -118,17 +118,19 @@ def _entries(level: Column, ids: dict[str, int], queue: bool, twice: bool) -> Co
     return _bind(_kinds(level, ids), parts)
 
 
-def verify_bfs(predictions: DataFrame, dist: DataFrame, vocab: Vocab, vocab_size: int, include_queue: bool = False, duplicate_adjacency: bool = False) -> DataFrame:
+def verify_bfs(predictions: DataFrame, dist: DataFrame, vocab: Vocab, vocab_size: int, include_queue: bool = False, duplicate_adjacency: bool = False, near: DataFrame | None = None) -> DataFrame:
     """(inst, code) of predictions(inst, start, end, tokens): tokens are a written search without its ``#``; see BFS_CODES.
 
     dist: (inst, src, dst, d) by id. Any order of lists and of nodes within a level is right. What is said first decides
     among faults of the text. A list is judged by its first token that is no neighbour: outside the vocabulary or just
     wrong; a wrong list may be made good by its repeat. Then the ends are traced back, level by level, over all hops that
-    are both listed and edges.
+    are both listed and edges. near: (inst, near), each node's neighbours as a map; with it, dist need only have the pairs
+    (start, end); without it, neighbours are the pairs at distance 1.
     """
     ids = {s: vocab[s] for s in "[]{}"}
-    arc = dist.filter("d = 1").groupBy("inst", "src").agg(F.collect_list("dst").alias("to"))
-    near = arc.groupBy("inst").agg(F.map_from_entries(F.collect_list(F.struct("src", "to"))).alias("near"))
+    if near is None:
+        arc = dist.filter("d = 1").groupBy("inst", "src").agg(F.collect_list("dst").alias("to"))
+        near = arc.groupBy("inst").agg(F.map_from_entries(F.collect_list(F.struct("src", "to"))).alias("near"))
     best = dist.select("inst", F.col("src").alias("start"), F.col("dst").alias("end"), F.col("d").alias("best"))
     none = F.expr("cast(array() as array<int>)")
     rows = predictions.select("inst", "start", "end", F.coalesce(F.col("tokens").cast("array<int>"), none).alias("tokens")).join(near, "inst", "left").join(best, ["inst", "start", "end"], "left")

@@ -504,17 +504,19 @@ def verify_paths(spark, sf):
 def verify_bfs(spark, sf):
     """Written searches are right, and wrong once their first ``[`` is gone."""
     args = BfsArgs(include_queue=True, duplicate_adjacency=True)
-    edges, dist, traces = _traces(spark, sf, args)
-    names = _node_map(edges)
-    told = search.bfs_tokens(traces, paths.node_tokens(names), VOCAB, args)
+    plain = cut(D.told_graphs(lineitem_edges(spark, sf)), "told")
+    names = _names(plain)
+    of = lambda c: F.get("tokens", F.col(c)).alias(c)
+    ends = cut(paths.told_ends(plain, _PATH, SEED).join(names, "inst").select("inst", of("start"), of("end")), "ends")
+    # the same graphs by ids, so that searches need no names any more
+    graphs = cut(_in_ids(plain, names), "graphs")
+    told = search.bfs_tokens(search.bfs_traces(graphs, ends, args), None, VOCAB, args)
     own = told.select("inst", F.slice("scratchpad", F.lit(2), F.size("scratchpad")).alias("tokens"))
     at = F.array_position("tokens", VOCAB["["]).cast("int")
-    cut = F.concat(F.slice("tokens", F.lit(1), at - 1), F.slice("tokens", at + 1, F.size("tokens")))
-    own = own.withColumn("tokens", F.when(F.col("inst") % 2 == 0, F.col("tokens")).otherwise(cut))
-    packed = D.packaged_distances(dist, names).select("inst", F.col("src_tok").alias("src"), F.col("dst_tok").alias("dst"), "d")
-    of = lambda c: F.get("tokens", F.col(c))
-    ends = traces.filter("found").select("inst", F.get("path", F.lit(0)).alias("s"), F.element_at("path", -1).alias("e")).join(paths.node_tokens(names), "inst").select("inst", of("s").alias("start"), of("e").alias("end"))
-    return verify.verify_bfs(own.join(ends, "inst"), packed, VOCAB, len(VOCAB.ids), True, True)
+    less = F.concat(F.slice("tokens", F.lit(1), at - 1), F.slice("tokens", at + 1, F.size("tokens")))
+    own = own.withColumn("tokens", F.when(F.col("inst") % 2 == 0, F.col("tokens")).otherwise(less))
+    dist = D.asked_distances(graphs, ends.select("inst", F.col("start").alias("src"), F.col("end").alias("dst")))
+    return verify.verify_bfs(own.join(ends, "inst"), dist, VOCAB, len(VOCAB.ids), True, True, D.told_neighbours(graphs))
 
 
 # --------------------------------------------------------------------------------------------------------------- k-hops

@@ -146,3 +146,15 @@ def test_asked_distances_are_those_of_all_pairs(spark, directed):
     got = found(D.asked_distances(edges, spark.createDataFrame(asked + asked[:9] + [(99, 0, 0)], "inst long, src int, dst int"), directed))
     want = {i: {p: d for p, d in plain(g, directed).items() if (i, *p) in asked} for i, g in enumerate(graphs)}
     assert got == {i: x for i, x in want.items() if x}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_neighbours_of_told_graphs(spark, directed):
+    graphs = random_graphs(8)
+    want = {i: {} for i in range(len(graphs))}
+    for i, g in enumerate(graphs):
+        for (a, b), d in plain(g, directed).items():
+            if d == 1:
+                want[i].setdefault(a, set()).add(b)
+    got = {r.inst: {a: sorted(bs) for a, bs in r.near.items()} for r in D.told_neighbours(D.told_graphs(table(spark, graphs)), directed).collect()}
+    assert got == {i: {a: sorted(bs) for a, bs in x.items()} for i, x in want.items()}

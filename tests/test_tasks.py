@@ -171,6 +171,24 @@ def test_told_searches_verify_and_spoilt_ones_do_not(spark, batch, flags):
     traces.unpersist()
 
 
+def test_searches_by_ids_and_their_verdicts_from_neighbours(spark, batch):
+    """Told graphs by id give the same text, and neighbours with the ends' distances the same verdicts, as all distances."""
+    _, edges, dist, names, tokens, ends = batch
+    args = BfsArgs(include_queue=True, duplicate_adjacency=True)
+    at = lambda c: F.get("tokens", F.col(c)).alias(c)
+    named = ends.join(tokens, "inst").select("inst", at("start"), at("end"))
+    of = lambda c: F.transform(c, lambda x: F.get("tokens", x)).alias(c)
+    graphs = D.told_graphs(edges).join(tokens, "inst").select("inst", of("us"), of("vs"))
+    told = search.bfs_tokens(search.bfs_traces(graphs, named, args), None, VOCAB, args)
+    assert sorted(told.collect()) == sorted(search.bfs_tokens(search.bfs_traces(edges, ends, args), tokens, VOCAB, args).collect())
+    said = told.select("inst", F.slice("scratchpad", F.lit(2), F.size("scratchpad") - F.col("inst") % 3).cast("array<int>").alias("tokens")).join(named, "inst")
+    packed = D.packaged_distances(dist, names).selectExpr("inst", "src_tok as src", "dst_tok as dst", "d")
+    few = D.asked_distances(graphs, named.selectExpr("inst", "start as src", "end as dst"))
+    got = verify.verify_bfs(said, few, VOCAB, len(VOCAB.ids), True, True, D.told_neighbours(graphs))
+    assert sorted(got.collect()) == sorted(verify.verify_bfs(said, packed, VOCAB, len(VOCAB.ids), True, True).collect())
+    assert {r.code for r in got.collect()} > {1}
+
+
 def test_every_code_of_the_search_verifier(spark):
     v = VOCAB
     say = lambda text: [v[s] if s in v.ids and not s.isdigit() else int(s) for s in text.split()]
