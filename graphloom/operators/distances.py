@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.shipping import ship
-from graphloom.functions.written import cut
+from graphloom.functions.written import cut, delete
 from graphloom.sources.tables import arcs, nodes
 
 _SCHEMA = "inst long, src int, dst int, d int"
 #: Cells of a tensor; graphs of a batch are taken in parts of so many.
 _CELLS = 1 << 22
+#: Nodes of a piece of a graph, for the search that joins.
+_PIECE = 1 << 10
 
 
 def distances(edges: DataFrame, directed: bool = False, plan: str = "tensor", every_node: DataFrame | None = None) -> DataFrame:
@@ -126,17 +128,92 @@ def _array(edges: DataFrame, directed: bool) -> DataFrame:
 
 
 def _frontier(edges: DataFrame, directed: bool) -> DataFrame:
-    step = arcs(edges, directed).select("inst", F.col("u").alias("dst"), F.col("v").alias("to")).persist()
-    front = nodes(edges).select("inst", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("d"))
-    seen = front = cut(front)
-    d = 0
-    while not front.isEmpty():
-        d += 1
-        reached = front.join(step, ["inst", "dst"]).select("inst", "src", F.col("to").alias("dst")).distinct()
-        front = cut(reached.join(seen, ["inst", "src", "dst"], "left_anti").withColumn("d", F.lit(d)))
-        seen = cut(seen.unionByName(front))
-    step.unpersist()
-    return seen
+    """Level by level, _PIECE nodes and 64 sources a row: a row (inst, piece, block, nodes, seen, front) has a bit for each
+    source of the block that has reached a node, up to now and in this level. It meets the arcs that leave its piece, by
+    the piece they lead to, and what they carry meets the rows of those pieces."""
+    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    piece = lambda c: F.floor(F.col(c) / _PIECE).cast("int")
+    steps = arcs(edges, directed).groupBy("inst", piece("u").alias("piece"), piece("v").alias("to")).agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
+    steps = cut(steps, "arcs")
+    own = nodes(edges).groupBy("inst", piece("node").alias("piece"), F.floor(F.col("node") / 64).cast("int").alias("block")).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    bits = F.transform("nodes", lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x % 64))
+    at = cut(own.select("inst", "piece", "block", "nodes", bits.alias("seen"), bits.alias("front")))
+    found, d = None, 0
+    while True:
+        rows = at.filter(F.exists("front", lambda x: x != 0)).select("inst", "block", "nodes", "front")
+        level = cut(rows.withColumn("d", F.lit(d)), "level")
+        if level.isEmpty():
+            break
+        found = level if found is None else found.unionByName(level)
+        front = at.filter(F.exists("front", lambda x: x != 0)).select("inst", "piece", "block", "nodes", "front")
+        sent = front.join(steps, ["inst", "piece"]).select("inst", "to", "block", "nodes", "front", "us", "vs").mapInArrow(_carry, "inst long, piece int, block int, nodes array<int>, seen array<long>, front array<long>")
+        both = at.select("inst", "piece", "block", "nodes", "seen", F.expr("cast(array() as array<long>)").alias("front")).unionByName(sent)
+        met = both.groupBy("inst", "piece", "block").agg(*(F.flatten(F.collect_list(x)).alias(c) for c, x in (
+            ("nodes", F.when(F.size("front") == 0, F.col("nodes"))), ("seen", F.when(F.size("front") == 0, F.col("seen"))), ("to", F.when(F.size("front") > 0, F.col("nodes"))), ("front", F.when(F.size("front") > 0, F.col("front"))))))
+        new = cut(met.mapInArrow(_merge, at.schema))
+        delete(spark, at.inputFiles()[0].rpartition("/")[0])
+        at, d = new, d + 1
+        spark.sparkContext._jvm.System.gc()  # what was shuffled for levels gone by goes only with its garbage
+    return found.mapInArrow(_pairs, _SCHEMA) if found is not None else spark.createDataFrame([], _SCHEMA)
+
+
+def _flat(batch: pa.RecordBatch, *columns: int) -> tuple[np.ndarray, ...]:
+    """The row of each entry of the first of some list columns of equal lengths, and their entries."""
+    row = np.repeat(np.arange(len(batch), dtype=np.int64), batch.column(columns[0]).value_lengths().to_numpy())
+    return row, *(batch.column(i).flatten().to_numpy() for i in columns)
+
+
+def _united(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with all its bits."""
+    order = np.argsort(key, kind="stable")
+    key, bits = key[order], bits[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits
+
+
+def _lists(row: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
+    at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(x)) for x in columns]
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, node, front = _flat(batch, 3, 4)
+        at, us, vs = _flat(batch, 5, 6)
+        # nodes are in order by row
+        have, ask = row << 32 | node, at << 32 | us
+        i = np.minimum(np.searchsorted(have, ask), max(0, len(have) - 1))
+        hit = have[i] == ask if len(have) else np.zeros(len(ask), bool)
+        key, bits = _united((at << 32 | vs)[hit], front[i[hit]])
+        bits, key = bits[bits != 0], key[bits != 0]
+        some, place = np.unique(key >> 32, return_inverse=True)
+        lists = _lists(place, len(some), (key & 0xFFFFFFFF).astype(np.int32), bits, bits)
+        part = batch.select([0, 1, 2]).take(pa.array(some))
+        yield pa.record_batch([*part.columns, *lists], names=["inst", "piece", "block", "nodes", "seen", "front"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, node, seen = _flat(batch, 3, 4)
+        at, to, front = _flat(batch, 5, 6)
+        key = np.concatenate([row << 32 | node, at << 32 | to])
+        none = np.zeros(len(node), np.int64)
+        old = _united(key, np.concatenate([seen, np.zeros(len(to), np.int64)]))
+        new = _united(key, np.concatenate([none, front]))[1] & ~old[1]
+        lists = _lists(old[0] >> 32, len(batch), (old[0] & 0xFFFFFFFF).astype(np.int32), old[1] | new, new)
+        yield pa.record_batch([*batch.columns[:3], *lists], names=["inst", "piece", "block", "nodes", "seen", "front"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, len(whole), 1024):
+            batch = whole.slice(i, 1024)
+            row, node, front = _flat(batch, 2, 3)
+            inst, block, d = (batch.column(c).to_numpy() for c in (0, 1, 4))
+            k, bit = np.nonzero(np.unpackbits(front.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            r = row[k]
+            yield pa.record_batch([pa.array(inst[r]), pa.array((block[r] * 64 + bit).astype(np.int32)), pa.array(node[k]), pa.array(d[r])], names=["inst", "src", "dst", "d"])
 
 
 def asked_distances(edges: DataFrame, pairs: DataFrame, directed: bool = False) -> DataFrame:

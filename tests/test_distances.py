@@ -158,3 +158,17 @@ def test_neighbours_of_told_graphs(spark, directed):
                 want[i].setdefault(a, set()).add(b)
     got = {r.inst: {a: sorted(bs) for a, bs in r.near.items()} for r in D.told_neighbours(D.told_graphs(table(spark, graphs)), directed).collect()}
     assert got == {i: {a: sorted(bs) for a, bs in x.items()} for i, x in want.items()}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_frontier_in_pieces_and_blocks(spark, directed, monkeypatch):
+    """Graphs of many pieces and of more than 64 sources; rows are few, whatever the number of pairs."""
+    monkeypatch.setattr(D, "_PIECE", 48)
+    draw = random.Random(9)
+    graphs = [[p for p in ((draw.randrange(n), draw.randrange(n)) for _ in range(2 * n)) if p[0] != p[1]] for n in (150, 70)]
+    made, real = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda *a: (made.append(real(*a)), made[-1])[1])
+    got = found(D.distances(table(spark, graphs), directed, "frontier"))
+    assert got == {i: plain(g, directed) for i, g in enumerate(graphs)}
+    assert max(x.count() for x in made if x.columns[-1] == "d") <= (4 * 3 + 2 * 2) < sum(map(len, got.values())) / 100
+    assert D.distances(table(spark, graphs).limit(0), directed, "frontier").count() == 0
