@@ -270,9 +270,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     ends = pairs.distinct()
     for side in ("a", "b"):
         ends = ends.join(short.select(F.col("node").alias(side), F.col("parity").alias(f"p{side}"), F.col("n").alias(f"n{side}")), side)
-    near = materialize(ends.filter(_differ("pa", "pb") <= _allowed(percent)).select("a", "b", "na", "nb"), "near")
+    near = materialize(ends.filter(_differ("pa", "pb") <= _allowed(percent)).select("a", "b", "na", "nb"), "near", gather=True)
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id", "fp1", "fp2"), "node")
-    wanted = materialize(wanted, "wanted")
+    wanted = materialize(wanted, "wanted", gather=True)
     # a doc_id may have other texts too: sets are known by their prints
     found = shingle_sets(_pick(docs, wanted.select(F.col("least_id").alias("doc_id")).distinct()), k)
     sets = materialize(found.join(wanted, ["fp1", "fp2"]).groupBy("node").agg(F.first("grams").alias("grams")), "sets")
@@ -297,7 +297,7 @@ def _heavy_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, known:
     # most shingles are listed once: only their hashes are counted, and only the others' entries go on
     shared = each.groupBy("gram").agg(F.count("*").alias("of")).filter("of > 1")
     total = nodes.agg(F.sum(F.size("listed"))).first()[0] or 0
-    entries = materialize(join_by_key(each, shared, ["gram"], "of", total), "entries")
+    entries = materialize(join_by_key(each, shared, ["gram"], "of", total), "entries", gather=True)
     pivot = F.max_by(F.struct("node", "n"), F.struct("copies", -F.col("n"), -F.col("node")))
     lists = join_by_key(entries.drop("copies"), entries.groupBy("gram").agg(pivot.alias("pivot"), F.count("*").alias("of")), ["gram"], "of", total)
 
@@ -310,7 +310,7 @@ def _heavy_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, known:
     # the stars only need to find most links cheaply; what they miss is tried among the pairs across components
     stars = lists.select("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).filter("node <> pivot")
     sized = stars.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    first = materialize(_verified(sized.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), nodes, docs, k, percent).unionByName(known), "links")
+    first = materialize(_verified(sized.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), nodes, docs, k, percent).unionByName(known), "links", gather=True)
     part = connected_components(first)
     placed = lists.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("c"))
@@ -342,7 +342,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     part = connected_components(links)
     known = nodes.select("fp1", "fp2", "n", "node", "least_id", "copies").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = known.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("of"))
-    known = materialize(join_by_key(known, names, ["component"], "of", known.count()).select("fp1", "fp2", "n", F.col("least_id").alias("representative"), "component_id", "copies"), "groups")
+    known = materialize(join_by_key(known, names, ["component"], "of", known.count()).select("fp1", "fp2", "n", F.col("least_id").alias("representative"), "component_id", "copies"), "groups", gather=True)
     own = signed.select("doc_id", "row", "n", "fp1", "fp2")
     grouped = F.col("n") > 0
     met = join_by_key(own.filter(grouped & F.col("doc_id").isNotNull()), known, ["fp1", "fp2", "n"], "copies", known.agg(F.sum("copies")).first()[0] or 0)
@@ -377,7 +377,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = materialize(groups.groupBy("component_id", "doc_id", "row").agg(F.count("*").alias("of")), "rows")
     first = groups.filter("component_id = doc_id").groupBy("doc_id", "component_id").agg(F.min("row").alias("first"), F.count("*").alias("texts")).filter("texts > 1")
     later = groups.join(first, ["doc_id", "component_id"]).filter("row <> first").select("doc_id", "row")
-    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id", "row").unionByName(later), "copies")
+    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id", "row").unionByName(later), "copies", gather=True)
     few = gone.limit(FEW_IDS + 1).count() <= FEW_IDS
     # the caller's columns travel in one struct, where no name can clash
     doc_id, _, row = _rows(docs)

@@ -14,6 +14,11 @@ from graphloom.functions.shipping import ship
 from graphloom.functions.written import fresh_path
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Hadoop's local file system starts a process (chmod) for each folder and file that it makes, and doubles the files by
+#: checksums of its own. While an executor starts one it counts twice in what memory its processes seem to take. The raw
+#: one makes no second file; Parquet's pages have checksums anyway, and these are checked. Other file systems ignore this.
+_WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
 _RECORD: ContextVar[list[str] | None] = ContextVar("tables written", default=None)
 
 
@@ -27,14 +32,18 @@ def recorded(paths: list[str]):
         _RECORD.reset(token)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back; its plan starts at that table."""
+def materialize(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back; its plan starts at that table.
+
+    gather: the rows are few beside the tasks that make them; they go on, by one more shuffle, to as many files as their
+    bytes need.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if (paths := _RECORD.get()) is not None:
         paths.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance") if gather else df).write.options(**_WRITE).parquet(path)
+    return spark.read.schema(df.schema).options(**_READ).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
